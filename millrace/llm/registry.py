@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, sharding
+from millrace.llm import chat, decontaminate, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_chat_format": chat.op4_chat_format,
     "op5_jump_shards": sharding.op5_jump_shards,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_quality_rules": quality.op7_quality_rules,
 }
 
 ORACLE: dict[str, str] = {}
