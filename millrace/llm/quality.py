@@ -59,7 +59,7 @@ RULES = (
     Rule("repeated_lines", "n_dup_lines / nullif(n_lines, 0)", 0, 0.3, 0, 0.1),
     Rule("repeated_words", "n_repeat_words / nullif(n_words, 0)", 0, 0.2, 0, 0.1),
     Rule("sentence_ends", "n_stops / nullif(n_words, 0)", 0.004, 0.6, 0.02, 0.35),
-    Rule("letter_share", "n_letters / nullif(word_chars, 0)", 0.65, 1, 0.85, 1),
+    Rule("letter_share", "n_letters / nullif(word_chars, 0)", 0.75, 1, 0.9, 1),
 )
 
 

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, decontaminate, quality, sharding
+from millrace.llm import chat, decontaminate, quality, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": chat.op4_chat_format,
     "op5_jump_shards": sharding.op5_jump_shards,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_warc": warc.op8_warc,
 }
 
 ORACLE: dict[str, str] = {}

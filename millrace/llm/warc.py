@@ -116,7 +116,7 @@ def write_archives(records: DataFrame, path: str, chunk: int = CHUNK) -> None:
 
 def _values(column: pa.Array) -> Iterator:
     for x in column:
-        if isinstance(x, pa.BinaryScalar):
+        if pa.types.is_binary(x.type):
             yield x.as_buffer() if x.is_valid else b""
         else:
             yield x.as_py()
