@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, decontaminate, quality, sharding, warc
+from millrace.llm import chat, decontaminate, langid, quality, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": chat.op4_chat_format,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_warc": warc.op8_warc,
+    "op9_language_id": langid.op9_language_id,
 }
 
 ORACLE: dict[str, str] = {}

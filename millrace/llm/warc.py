@@ -24,10 +24,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import scratch, settle, table
+from millrace.llm._shared import scratch, table
 
 CHUNK = 64 << 10
 REVISIT_BYTES = 1000
@@ -40,9 +40,9 @@ RECORD_SCHEMA = "archive int, record long, id long, chunk int, last boolean, bod
 def plan_records(pages: DataFrame, page_id: str, url: str, payload: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Adds to each page what its record will be: ``digest, size, refers_to``.
 
-    Only ids and digests are shuffled. Digests are counted with their largest
-    id before they meet the pages again, so a payload that a third of all pages
-    share is one row on the small side of that join.
+    Digests are counted, with their largest id, on the side of each task first,
+    so a payload that a third of all pages share is one row of the smaller side
+    of the join with the pages; adaptive execution splits the larger side.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     named = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), body.alias("body"), F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("size"))
