@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, decontaminate, langid, quality, sharding, warc
+from millrace.llm import chat, decontaminate, langid, packing, quality, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op4_chat_format": chat.op4_chat_format,
     "op5_jump_shards": sharding.op5_jump_shards,
     "op6_decontaminate": decontaminate.op6_decontaminate,
