@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, decontaminate, langid, packing, quality, sharding, token_files, warc
+from millrace.llm import chat, decontaminate, langid, packing, quality, sharding, substrings, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_token_files": token_files.op3_token_files,
     "op4_chat_format": chat.op4_chat_format,
     "op5_jump_shards": sharding.op5_jump_shards,
