@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, decontaminate, langid, packing, quality, sharding, substrings, token_files, warc
+from millrace.llm import chat, decontaminate, langid, neardup, packing, quality, sharding, substrings, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_warc": warc.op8_warc,
     "op9_language_id": langid.op9_language_id,
+    "op10_minhash_near_dedup": neardup.op10_minhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {}
