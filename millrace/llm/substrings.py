@@ -344,16 +344,28 @@ def _found(head: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in head], names=["doc", "mark", "start", "size"])
 
 
+def _cut(text: str | None, spans: list[list[int]]) -> str | None:
+    """A text without the words in ``spans``, each cut up to the next word."""
+    if not spans:
+        return text
+    at = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)] + [len(text)]
+    kept, last = [], 0
+    for a, b in spans:
+        kept.append(text[last : at[a]])
+        last = at[b]
+    return "".join([*kept, text[last:]])
+
+
 def mark_of(text: str):
     """What tells rows of one id apart."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, run: int = RUN, load: int = LOAD, keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, run: int = RUN, load: int = LOAD, keep: list[str] | None = None, layout: bool = False) -> DataFrame:
     """The columns in ``keep``, and ``n_words, n_removed, removed, kept_text`` of every document.
 
     ``removed`` are (start, end) in words; ``kept_text`` has the other words,
-    joined by one space.
+    joined by one space or, with ``layout``, with the white space around them.
     """
     from pyspark.sql import types as T
 
@@ -380,7 +392,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     gone = np.cumsum(gone)[:-1] > 0
                     spans = _runs(gone).tolist()
                     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                for column, value in zip(made, (len(words), len(words) - len(kept), spans, " ".join(kept)), strict=True):
+                for column, value in zip(made, (len(words), len(words) - len(kept), spans, _cut(body.as_py(), spans) if layout else " ".join(kept)), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.string())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(v, k) for v, k in zip(made, kinds, strict=True)]], names=[f.name for f in schema.fields])
