@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import re
 
-#: White space to Python but not to Unicode: such texts aren't cut.
-_ODD = re.compile("[\x1c-\x1f]")
+#: White space to Python but not to Unicode, and the mark used for cutting: such texts aren't cut.
+_ODD = re.compile("[\0\x1c-\x1f]")
+#: White space other than single spaces and line ends between words.
+_UNEVEN = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
 #: What byte-level BPE with a leading space cuts at: words with the space before them, and runs of space.
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _PLAIN_SPACED = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
@@ -21,7 +23,7 @@ _PLAIN_DROPPED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 _TAILED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,])\Z")
 
 #: Chunks in each of the two generations that a worker remembers, some 200 bytes a chunk.
-MEMORY = 300_000
+MEMORY = 500_000
 
 
 def _byte_letters() -> list[str]:
@@ -53,6 +55,7 @@ class Encoder(dict):
         self.letters = _byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.older: dict[str, bytes] = {}
+        self.line_end = b"" if drops_space else self._ids("\n")
 
     def _ids(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -85,8 +88,11 @@ class Encoder(dict):
             return b""
         if _ODD.search(text) or any(t in text for t in self.special):
             return self._ids(text)
-        chunks = text.split() if self.drops_space else _SPACED.findall(text)
-        return b"".join(map(self.__getitem__, chunks))
+        if self.drops_space:
+            return b"".join(map(self.__getitem__, text.split()))
+        if _UNEVEN.search(text):
+            return b"".join(map(self.__getitem__, _SPACED.findall(text)))
+        return self.line_end.join([b"".join(map(self.__getitem__, line.replace(" ", "\0 ").split("\0"))) for line in text.split("\n")])
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

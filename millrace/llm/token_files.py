@@ -42,22 +42,56 @@ _USED = np.arange(4) < np.arange(5)[:, None]
 _SHIFT = np.array([1, 4, 16, 64], dtype=np.uint8)
 
 
-def encode_numbers(numbers: np.ndarray) -> tuple[bytes, bytes]:
-    """``control`` and ``data`` of unsigned 32-bit numbers."""
-    numbers = np.ascontiguousarray(numbers, dtype="<u4")
-    code = (numbers >= 1 << 8).astype(np.uint8) + (numbers >= 1 << 16) + (numbers >= 1 << 24)
-    full = np.zeros(-(-len(code) // 4) * 4, dtype=np.uint8)
-    full[: len(code)] = code
-    control = (full.reshape(-1, 4) * _SHIFT).sum(axis=1, dtype=np.uint8)
-    return control.tobytes(), numbers.view(np.uint8).reshape(-1, 4)[_USED[code + 1]].tobytes()
+#: Numbers that are coded at once.
+TOGETHER = 1 << 18
+
+
+def _padded(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where control bytes of documents end, and the places of numbers once documents are padded to fours."""
+    ends = np.cumsum(-(-sizes // 4))
+    shift = np.concatenate(([0], ends[:-1])) * 4 - (np.cumsum(sizes) - sizes)
+    return ends, np.arange(int(sizes.sum())) + np.repeat(shift, sizes)
 
 
-def decode_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ``n`` numbers of a coded document, by table lookup."""
-    lengths = LENGTHS[np.frombuffer(control, dtype=np.uint8)].ravel()[:n]
-    out = np.zeros((n, 4), dtype=np.uint8)
-    out[_USED[lengths]] = np.frombuffer(data, dtype=np.uint8)
-    return out.view("<u4").ravel()
+def encode_numbers(documents: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """``control`` and ``data`` of documents of unsigned 32-bit numbers."""
+    sizes = np.array([len(d) for d in documents], dtype=np.int64)
+    numbers = np.ascontiguousarray(np.concatenate(documents), dtype="<u4")
+    code = (numbers >= 1 << 8).astype(np.uint8) + (numbers >= 1 << 16) + (numbers >= 1 << 24)
+    ends, place = _padded(sizes)
+    full = np.zeros(int(ends[-1]) * 4, dtype=np.uint8)
+    full[place] = code
+    control = (full.reshape(-1, 4) * _SHIFT).sum(axis=1, dtype=np.uint8).tobytes()
+    data = numbers.view(np.uint8).reshape(-1, 4)[_USED[code + 1]].tobytes()
+    stops = np.concatenate(([0], np.cumsum(code.astype(np.int64) + 1)))[np.cumsum(sizes)]
+    return list(zip(_cut(control, ends), _cut(data, stops), strict=True))
+
+
+def _cut(whole: bytes, ends: np.ndarray) -> list[bytes]:
+    ends = ends.tolist()
+    return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def decode_numbers(controls: list[bytes], datas: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    """The numbers of coded documents, by table lookup."""
+    sizes = np.array(sizes, dtype=np.int64)
+    _, place = _padded(sizes)
+    lengths = LENGTHS[np.frombuffer(b"".join(controls), dtype=np.uint8)].ravel()[place]
+    out = np.zeros((len(lengths), 4), dtype=np.uint8)
+    out[_USED[lengths]] = np.frombuffer(b"".join(datas), dtype=np.uint8)
+    return np.split(out.view("<u4").ravel(), np.cumsum(sizes)[:-1])
+
+
+def _together(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of documents to be coded at once."""
+    first, held = 0, 0
+    for k, n in enumerate(sizes):
+        held += n
+        if held >= TOGETHER:
+            yield first, k + 1
+            first, held = k + 1, 0
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def tokenize(docs: DataFrame, vocabulary: str, drops_space: bool, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,32 +156,23 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
     from pyspark.sql import types as T
 
     key = next(f for f in tokens.schema.fields if f.name == "doc_id")
-    coded_schema = T.StructType([key, T.StructField("crc", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])
-    placed_schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("start_in_part", T.LongType()), key, *coded_schema.fields[2:]])
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("start_in_part", T.LongType()), key, T.StructField("n_tokens", T.LongType()), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
-        for batch in batches:
-            numbers = [rank[_numbers(i, w)] for i, w in zip(batch.column(2), batch.column(3), strict=True)]
-            coded = [encode_numbers(x) for x in numbers]
-            made = [pa.array([len(x) for x in numbers], pa.int64()), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=[f.name for f in coded_schema.fields])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at = TaskContext.get().partitionId(), 0
+        rank, part, at = shared.value, TaskContext.get().partitionId(), 0
         for batch in batches:
-            n = batch.column(2).to_numpy()
-            starts = at + np.cumsum(n) - n
+            numbers = [_numbers(i, w) for i, w in zip(batch.column(1), batch.column(2), strict=True)]
+            n = np.array([len(x) for x in numbers], dtype=np.int64)
+            coded = [c for a, b in _together(n.tolist()) for c in encode_numbers([rank[x] for x in numbers[a:b]])]
+            made = [pa.array(n), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(at + np.cumsum(n) - n, pa.int64()), batch.column(0), *made], names=[f.name for f in schema.fields])
             at += int(n.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), part, np.int32)), pa.array(starts, pa.int64()), batch.column(0), batch.column(2), batch.column(3), batch.column(4)], names=[f.name for f in placed_schema.fields]
-            )
 
-    coded = tokens.select("doc_id", "crc", "ids", "wide").mapInArrow(code, coded_schema)
-    ordered = coded.repartitionByRange("doc_id", "crc").sortWithinPartitions("doc_id", "crc")
-    ordered.mapInArrow(place, placed_schema).write.option("compression", "zstd").parquet(f"{path}/tokens")
+    # Rows are put in order before they are coded: the range is then found without running Python twice.
+    ordered = tokens.repartitionByRange("doc_id", "crc").sortWithinPartitions("doc_id", "crc").select("doc_id", "ids", "wide")
+    ordered.mapInArrow(code, schema).write.option("compression", "zstd").parquet(f"{path}/tokens")
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -173,7 +198,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value
         for batch in batches:
-            whole = [ids[decode_numbers(c.as_buffer(), d.as_buffer(), n.as_py())].tobytes() for n, c, d in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)]
+            sizes, controls, datas = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            whole = [ids[x].tobytes() for a, b in _together(sizes) for x in decode_numbers(controls[a:b], datas[a:b], sizes[a:b])]
             made = [*[batch.column(i) for i in range(3)], pa.array([zlib.crc32(x) for x in whole], pa.int64()), *([pa.array(whole, pa.binary())] if with_ids else [])]
             yield pa.RecordBatch.from_arrays(made, names=[f.name for f in schema.fields])
 
