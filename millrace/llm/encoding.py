@@ -11,11 +11,13 @@ one piece.
 from __future__ import annotations
 
 import re
+from array import array
 
 #: White space to Python but not to Unicode, and the mark used for cutting: such texts aren't cut.
-_ODD = re.compile("[\0\x1c-\x1f]")
+_ODD = ("\0", "\x1c", "\x1d", "\x1e", "\x1f")
 #: White space other than single spaces and line ends between words.
-_UNEVEN = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
+_UNEVEN = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
+_WIDE = tuple("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 #: What byte-level BPE with a leading space cuts at: words with the space before them, and runs of space.
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _PLAIN_SPACED = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
@@ -64,8 +66,11 @@ class Encoder(dict):
     def _word(self, word: str) -> bytes:
         if self.drops_space:
             word = word.lower()
-        shown = "".join([self.letters[b] for b in word.encode("utf-8")])
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+        if not word.isascii():
+            word = "".join([self.letters[b] for b in word.encode("utf-8")])
+        elif word[0] == " ":
+            word = self.letters[0x20] + word[1:]
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= MEMORY:
@@ -86,15 +91,20 @@ class Encoder(dict):
         """The ids of a whole text; null is empty."""
         if not text:
             return b""
-        if _ODD.search(text) or any(t in text for t in self.special):
+        if any(x in text for x in _ODD) or any(t in text for t in self.special):
             return self._ids(text)
         if self.drops_space:
             return b"".join(map(self.__getitem__, text.split()))
-        if _UNEVEN.search(text):
+        if _uneven(text):
             return b"".join(map(self.__getitem__, _SPACED.findall(text)))
         return self.line_end.join([b"".join(map(self.__getitem__, line.replace(" ", "\0 ").split("\0"))) for line in text.split("\n")])
 
 
+def _uneven(text: str) -> bool:
+    """Whether white space is more than single spaces and line ends between words; plain searches beat a pattern here."""
+    return text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _UNEVEN) or not text.isascii() and any(x in text for x in _WIDE)
+
+
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
