@@ -16,7 +16,6 @@ an id is listed as an empty string.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -123,21 +122,31 @@ def find_contamination(
     limit: int = AUTOMATON_BYTES,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """Returns ``doc_id, n_words, items, spans`` of every document, and the columns in ``keep``.
+    """Returns ``doc_id, n_words, n_hit, items, spans`` of every document, and the columns in ``keep``.
 
     ``spans`` are places (start, end in code points) of hit words in the
     original text, touching words joined; ``items`` are the item ids found. A
     benchmark above ``limit`` bytes of patterns is scanned for in rounds, each
-    adding its finds to those before.
+    adding its finds to those before. Kept columns that bear the name of a
+    result are left out.
     """
-    keep = keep or []
-    names = [doc_id, *[k for k in keep if k != doc_id]]
-    out = docs.select(*names, F.col(text).alias("_text"), F.array().cast("array<string>").alias("_items"), F.array().cast("array<array<int>>").alias("_hits"))
+    names = [n for n in dict.fromkeys([doc_id, *(keep or [])]) if n not in RESULTS]
+    found = _find(docs, benchmark, names, text, item_id, item_text, width, limit)
+    return found.toDF(*names, *RESULTS)
+
+
+RESULTS = ("n_words", "n_hit", "items", "spans")
+
+
+def _find(docs: DataFrame, benchmark: DataFrame, names: list[str], text: str, item_id: str, item_text: str, width: int, limit: int) -> DataFrame:
+    """The columns ``names`` as ``_0``, ``_1`` and so on, and the results."""
+    places = [f"_{i}" for i in range(len(names))]
+    kept = docs.select(*[F.col(n).alias(p) for n, p in zip(names, places, strict=True)], F.col(text).alias("_text"))
+    out = kept.withColumns({"_items": F.array().cast("array<string>"), "_hits": F.array().cast("array<array<int>>")})
     rounds = list(_pattern_rounds(benchmark, item_id, item_text, width, limit))
-    kept_schema = out.select(*names).schema
     for i, patterns in enumerate(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(patterns)
-        out = _scan_round(out, names, shared, kept_schema, last=i == len(rounds) - 1)
+        out = _scan_round(out, places, shared, kept.drop("_text").schema, last=i == len(rounds) - 1)
     return out
 
 
@@ -190,12 +199,8 @@ def _places(text: str | None, runs: list[list[int]]) -> list[list[int]]:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns."""
-    found = find_contamination(docs, benchmark, width=width, keep=docs.columns)
-    return found.filter("n_hit = 0").select(*docs.columns)
-
-
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    found = _find(docs, benchmark, docs.columns, "text", "item_id", "text", width, AUTOMATON_BYTES)
+    return found.filter("n_hit = 0").drop(*RESULTS).toDF(*docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
