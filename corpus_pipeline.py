@@ -19,14 +19,13 @@ None and the stages are tested against brute force.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm._shared import staged, table
 from millrace.llm.decontaminate import drop_contaminated
 from millrace.llm.neardup import keep_one
 from millrace.llm.packing import pack_documents
 from millrace.llm.quality import filter_quality
-from millrace.llm.substrings import remove_repeats
+from millrace.llm.substrings import cut_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = remove_repeats(docs, keep=others, layout=True).withColumn("text", F.col("kept_text"))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return cut_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

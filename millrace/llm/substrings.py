@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm._shared import settle, table
+from millrace.llm.words import U, scramble, utf8, words_in
 
 WIDTH, RUN = 20, 4
 #: Windows that a bucket should hold, and words of a task that are settled together.
@@ -46,51 +47,24 @@ _GAP = re.compile(r"[\x20\x09-\x0D]+")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-U = np.uint64
-
 
 def words_of(text: str | None) -> list[str]:
     if not text:
         return []
-    if _ODD.search(text):
+    if any(x in text for x in "\x1c\x1d\x1e\x1f") or not text.isascii() and _ODD.search(text):
         return [w for w in _GAP.split(text) if w]
     return text.split()
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, remembered by the worker."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_hashes = _Hashes()
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = x ^ x >> U(31)
-    x = x * U(0xBF58476D1CE4E5B9)
-    return x ^ x >> U(29)
-
-
 def rolling(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
     """A hash of every run of ``width`` consecutive words, in order."""
     n = len(hashes) - width + 1
-    mixed = _scramble(hashes ^ _MIX[seed])
+    mixed = scramble(hashes ^ _MIX[seed])
     out = np.zeros(max(0, n), dtype=np.uint64)
     for k in range(width if n > 0 else 0):
         out *= _MIX[1 - seed]
         out += mixed[k : k + n]
-    return _scramble(out)
+    return scramble(out)
 
 
 def _least(values: np.ndarray, span: int) -> np.ndarray:
@@ -103,13 +77,14 @@ def _least(values: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
-def _first_places(a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Whether each (a, b) is the one with the smallest ``place`` among its equals."""
-    order = np.lexsort((place, b, a))
-    x, y = a[order], b[order]
-    first = np.ones(len(a), dtype=bool)
-    first[order[1:]] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    return first
+def _equals(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal (a, b) are neighbours, early ones first, and whether each equals the one before."""
+    order = np.argsort(a, kind="stable")
+    same = np.concatenate((np.zeros(min(1, len(a)), bool), a[order[1:]] == a[order[:-1]]))
+    if (b[order[1:]] != b[order[:-1]])[same[1:]].any():
+        order = np.lexsort((b, a))
+        same[1:] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+    return order, same
 
 
 def _runs(flags: np.ndarray) -> np.ndarray:
@@ -125,11 +100,11 @@ class _Batch:
         self.width, self.run, self.size = width, run, 0
         self.held: list[tuple] = []
 
-    def add(self, doc: int, mark: int, words: list[str]) -> None:
-        if len(words) >= self.width:
-            ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int32, count=len(words)) + 1, dtype=np.int32)
-            self.held.append((doc, mark, " ".join(words), ends, word_hashes(words)))
-            self.size += len(words)
+    def add(self, doc: int, mark: int, raw: bytes) -> None:
+        starts, ends, hashes = words_in(raw)
+        if len(hashes) >= self.width:
+            self.held.append((doc, mark, raw, starts.astype(np.int32), ends.astype(np.int32), hashes))
+            self.size += len(hashes)
 
     def settle(self) -> None:
         """Orders the documents, hashes their windows, and finds what is first here."""
@@ -137,19 +112,20 @@ class _Batch:
         held = [d for k, d in enumerate(self.held) if k == 0 or d[:2] != self.held[k - 1][:2]]
         self.doc = np.array([d[0] for d in held], dtype=np.int64)
         self.mark = np.array([d[1] for d in held], dtype=np.int64)
-        self.text, self.ends = [d[2] for d in held], [d[3] for d in held]
-        self.base = np.concatenate(([0], np.cumsum([len(d[4]) - self.width + 1 for d in held], dtype=np.int64)))
-        join = lambda make: np.concatenate([make(d[4]) for d in held]) if held else np.zeros(0, np.uint64)
+        self.raw, self.starts, self.ends = [d[2] for d in held], [d[3] for d in held], [d[4] for d in held]
+        self.base = np.concatenate(([0], np.cumsum([len(d[5]) - self.width + 1 for d in held], dtype=np.int64)))
+        join = lambda make: np.concatenate([make(d[5]) for d in held]) if held else np.zeros(0, np.uint64)
         self.one = join(lambda h: rolling(h, self.width, 0))
         self.two = join(lambda h: rolling(h, self.width, 1))
         self.low = join(lambda h: _least(rolling(h, self.run, 0), self.width - self.run + 1))
         self.held = []
-        self.first = _first_places(self.one, self.two, np.arange(len(self.one)))
+        order, same = _equals(self.one, self.two)
+        self.first = np.ones(len(order), dtype=bool)
+        self.first[order] = ~same
 
-    def slice(self, doc: int, start: int, windows: int) -> str:
-        """The words of some consecutive windows, joined by one space."""
-        ends = self.ends[doc]
-        return self.text[doc][ends[start - 1] if start else 0 : ends[start + windows + self.width - 2] - 1]
+    def slice(self, doc: int, start: int, windows: int) -> bytes:
+        """The words of some consecutive windows."""
+        return self.raw[doc][self.starts[doc][start] : self.ends[doc][start + windows + self.width - 2]]
 
     def repeats(self) -> Iterator[tuple[int, int, int, int]]:
         """(document, start, end) of runs of windows that come earlier in this batch."""
@@ -186,7 +162,7 @@ class _Buckets:
         b = (low % U(self.counted)).astype(np.int64)
         parts = self.parts[b]
         split = parts > 0
-        further = self.first[b[split]] + (_scramble(one[split]) % parts[split]).astype(np.int64)
+        further = self.first[b[split]] + (scramble(one[split]) % parts[split]).astype(np.int64)
         b %= self.buckets
         b[split] = further
         return b
@@ -197,7 +173,7 @@ def _documents(batches: Iterator[pa.RecordBatch], width: int, run: int) -> Itera
     now = _Batch(width, run)
     for batch in batches:
         for doc, mark, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            now.add(doc.as_py(), mark.as_py(), words_of(text.as_py()))
+            now.add(doc.as_py(), mark.as_py(), utf8(text.as_py()))
             if now.size >= TOGETHER:
                 now.settle()
                 yield now
@@ -207,6 +183,13 @@ def _documents(batches: Iterator[pa.RecordBatch], width: int, run: int) -> Itera
         yield now
 
 
+def _head(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, length: np.ndarray) -> bytes:
+    """Places as bytes. Documents ascend, so they are kept as steps; what repeats compresses away."""
+    with np.errstate(over="ignore"):
+        steps = np.diff(doc, prepend=np.int64(0))
+    return b"".join((len(doc).to_bytes(4, "little"), steps.astype("<i8").tobytes(), mark.astype("<i8").tobytes(), start.astype("<i4").tobytes(), length.astype("<i4").tobytes()))
+
+
 _PACKED = "bucket long, windows long, body binary"
 
 
@@ -220,8 +203,7 @@ def _pack(batch: _Batch, bucket_of) -> Iterator[tuple[int, int, bytes]]:
     edges = np.flatnonzero(np.diff(bucket[order])) + 1
     for rows in np.split(order, edges) if len(order) else ():
         texts = [batch.slice(d, s, n) for d, s, n in zip(doc[rows].tolist(), start[rows].tolist(), length[rows].tolist(), strict=True)]
-        head = np.stack((batch.doc[doc[rows]], batch.mark[doc[rows]], start[rows], length[rows])).astype("<i8")
-        body = len(rows).to_bytes(4, "little") + head.tobytes() + "\n".join(texts).encode("utf-8", "surrogatepass")
+        body = _head(batch.doc[doc[rows]], batch.mark[doc[rows]], start[rows], length[rows]) + b"\n".join(texts)
         yield int(bucket[rows[0]]), int(length[rows].sum()), press.compress(body)
 
 
@@ -232,28 +214,27 @@ def _pack_repeats(batch: _Batch, buckets: int) -> Iterator[tuple[int, int, bytes
     found = list(batch.repeats())
     if found:
         k, a, b = np.array(found, dtype=np.int64).T
-        head = np.stack((batch.doc[k], batch.mark[k], a, b - a)).astype("<i8")
-        yield int(batch.one[0] % U(buckets)), 0, zstandard.ZstdCompressor(level=3).compress(len(k).to_bytes(4, "little") + head.tobytes())
+        yield int(batch.one[0] % U(buckets)), 0, zstandard.ZstdCompressor(level=3).compress(_head(batch.doc[k], batch.mark[k], a, b - a))
 
 
-def _unpack(body: bytes) -> tuple[np.ndarray, list[str]]:
+def _unpack(body: bytes) -> tuple[np.ndarray, bytes]:
     """The places of a row's super-k-mers, and all their words."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(body)
     n = int.from_bytes(raw[:4], "little")
-    head = np.frombuffer(raw, dtype="<i8", count=4 * n, offset=4).reshape(4, n)
-    rest = raw[4 + 32 * n :]
-    return head, rest.decode("utf-8", "surrogatepass").replace("\n", " ").split(" ") if rest else []
+    steps, mark = np.frombuffer(raw, dtype="<i8", count=2 * n, offset=4).reshape(2, n)
+    start, length = np.frombuffer(raw, dtype="<i4", count=2 * n, offset=4 + 16 * n).reshape(2, n).astype(np.int64)
+    return np.stack((np.cumsum(steps), mark, start, length)), raw[4 + 24 * n :]
 
 
 def _judge(bodies: list[bytes], width: int) -> np.ndarray:
     """Repeats (document, mark, start, windows) among the super-k-mers of one bucket."""
     heads, one, two = [], [], []
     for body in bodies:
-        head, words = _unpack(body)
+        head, raw = _unpack(body)
         heads.append(head)
-        h = word_hashes(words)
+        h = words_in(raw)[2]
         inside = np.ones(len(h) - width + 1, dtype=bool)
         for k in range(1, width):
             inside[np.cumsum(head[3] + width - 1)[:-1] - k] = False
@@ -261,26 +242,39 @@ def _judge(bodies: list[bytes], width: int) -> np.ndarray:
         two.append(rolling(h, width, 1)[inside])
     head = np.concatenate(heads, axis=1)
     a, b = np.concatenate(one), np.concatenate(two)
-    piece = np.repeat(np.arange(head.shape[1]), head[3])
-    begin = np.cumsum(head[3]) - head[3]
-    start = head[2][piece] + np.arange(len(piece)) - begin[piece]
-    order = np.lexsort((start, head[1][piece], head[0][piece], b, a))
-    x, y = a[order], b[order]
-    again = np.zeros(len(a), dtype=bool)
-    again[order[1:]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
-    new = again.copy()
-    new[1:] &= ~again[:-1] | (piece[1:] != piece[:-1])
-    at = np.flatnonzero(new)
-    if not len(at):
+    order, same = _equals(a, b)
+    several = order[same | np.concatenate((same[1:], [False]))]
+    if not len(several):
         return np.zeros((4, 0), dtype=np.int64)
-    stop = np.flatnonzero(again & ~np.concatenate((again[1:] & (piece[1:] == piece[:-1]), [False]))) + 1
-    return np.stack((head[0][piece[at]], head[1][piece[at]], start[at], stop - at))
+    # Only windows that have equals are put in the order of their places.
+    ends = np.cumsum(head[3])
+    piece = np.searchsorted(ends, several, side="right")
+    doc, mark, start = head[0][piece], head[1][piece], head[2][piece] + several - (ends - head[3])[piece]
+    order = np.lexsort((start, mark, doc, b[several], a[several]))
+    x, y = a[several][order], b[several][order]
+    same = np.concatenate(([False], (x[1:] == x[:-1]) & (y[1:] == y[:-1])))
+    # A window is a repeat if it isn't in the first place of its equals; fully equal rows share their places.
+    first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    other = (start[order] != start[first]) | (doc[order] != doc[first]) | (mark[order] != mark[first])
+    again = np.zeros(len(a), dtype=bool)
+    again[several[order[same & other]]] = True
+    edge = np.zeros(len(a), dtype=bool)
+    edge[ends[:-1]] = True
+    begin = again & (edge | ~np.concatenate(([False], again[:-1])))
+    stop = again & np.concatenate((edge[1:] | ~again[1:], [True]))
+    at, to = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    piece = np.searchsorted(ends, at, side="right")
+    return np.stack((head[0][piece], head[1][piece], head[2][piece] + at - (ends - head[3])[piece], to - at))
+
 
+def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, run: int = RUN, load: int = LOAD, mark: Column | None = None) -> DataFrame:
+    """``doc, mark, runs`` (start and number of repeated windows), one row per document that has any.
 
-def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, run: int = RUN, load: int = LOAD) -> DataFrame:
-    """``doc, mark, starts, sizes``: runs of repeated windows, one row per document that has any."""
+    ``mark`` tells rows of one id apart (see :func:`mark_of`).
+    """
+    mark = mark_of(docs, doc_id, text) if mark is None else mark
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), mark_of(text).alias("mark"), F.col(text).alias("_text"))
+    rows = docs.select(place_of(doc_id).alias("doc"), mark.alias("mark"), F.col(text).alias("_text"))
 
     counted = 1 << max(14, (8 * rows.rdd.getNumPartitions() - 1).bit_length())
 
@@ -356,9 +350,19 @@ def _cut(text: str | None, spans: list[list[int]]) -> str | None:
     return "".join([*kept, text[last:]])
 
 
-def mark_of(text: str):
-    """What tells rows of one id apart."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+def place_of(doc_id: str) -> Column:
+    """A document's place by its id; a null id comes first."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
+
+
+def mark_of(docs: DataFrame, doc_id: str, text: str) -> Column:
+    """What tells rows of one id apart: their text's hash, or nothing where no id comes twice."""
+    ids = docs.groupBy(place_of(doc_id).alias("doc")).agg(F.count(F.lit(1)).alias("n"))
+    unique = ids.filter("n > 1").limit(1).count() == 0
+    return F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+RESULTS = ("n_words", "n_removed", "removed", "kept_text")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, run: int = RUN, load: int = LOAD, keep: list[str] | None = None, layout: bool = False) -> DataFrame:
@@ -366,16 +370,33 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     ``removed`` are (start, end) in words; ``kept_text`` has the other words,
     joined by one space or, with ``layout``, with the white space around them.
+    Kept columns that bear the name of a result are left out.
     """
+    keep = [c for c in keep or [doc_id] if c not in RESULTS]
+    return _without_repeats(docs, doc_id, text, width, run, load, keep, layout).toDF(*keep, *RESULTS)
+
+
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """The documents with repeated words cut out of their texts, and ``length`` (if there) following."""
+    others = [c for c in docs.columns if c not in (text, length)]
+    cut = _without_repeats(docs, doc_id, text, WIDTH, RUN, LOAD, others, layout=True)
+    made = {c: F.col(f"_k{i}") for i, c in enumerate(others)} | {text: F.col("kept_text")}
+    if length in docs.columns:
+        made[length] = F.length("kept_text").cast(docs.schema[length].dataType)
+    return cut.select(*[made[c].alias(c) for c in docs.columns])
+
+
+def _without_repeats(docs: DataFrame, doc_id: str, text: str, width: int, run: int, load: int, keep: list[str], layout: bool) -> DataFrame:
+    """The columns ``keep`` as ``_k0``, ``_k1`` and so on, and the results."""
     from pyspark.sql import types as T
 
-    keep = keep or [doc_id]
-    found = find_repeats(docs, doc_id, text, width, run, load)
-    named = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("_doc"), mark_of(text).alias("_mark"), F.col(text).alias("_text"))
+    mark = mark_of(docs, doc_id, text)
+    found = find_repeats(docs, doc_id, text, width, run, load, mark)
+    named = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], place_of(doc_id).alias("_doc"), mark.alias("_mark"), F.col(text).alias("_text"))
     joined = named.join(found, (F.col("_doc") == F.col("doc")) & (F.col("_mark") == F.col("mark")), "left")
     rows = joined.select(*[f"_k{i}" for i in range(len(keep))], "_text", "runs")
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("kept_text", T.StringType())]
-    schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], *fields])
+    kinds = (T.LongType(), T.LongType(), T.ArrayType(T.ArrayType(T.IntegerType())), T.StringType())
+    schema = T.StructType([*rows.schema.fields[: len(keep)], *[T.StructField(n, k) for n, k in zip(RESULTS, kinds, strict=True)]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
