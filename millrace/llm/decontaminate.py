@@ -143,10 +143,13 @@ def _find(docs: DataFrame, benchmark: DataFrame, names: list[str], text: str, it
     places = [f"_{i}" for i in range(len(names))]
     kept = docs.select(*[F.col(n).alias(p) for n, p in zip(names, places, strict=True)], F.col(text).alias("_text"))
     out = kept.withColumns({"_items": F.array().cast("array<string>"), "_hits": F.array().cast("array<array<int>>")})
-    rounds = list(_pattern_rounds(benchmark, item_id, item_text, width, limit))
-    for i, patterns in enumerate(rounds):
+    rounds = _pattern_rounds(benchmark, item_id, item_text, width, limit)
+    patterns = next(rounds)
+    while patterns is not None:
+        following = next(rounds, None)
         shared = docs.sparkSession.sparkContext.broadcast(patterns)
-        out = _scan_round(out, places, shared, kept.drop("_text").schema, last=i == len(rounds) - 1)
+        out = _scan_round(out, places, shared, kept.drop("_text").schema, last=following is None)
+        patterns = following
     return out
 
 
