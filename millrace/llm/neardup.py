@@ -14,15 +14,14 @@ share. A pair is linked if its weighted Jaccard similarity reaches the
 threshold, or the plain Jaccard similarity of its shingle sets does.
 
 Sampling. The random variables of a shingle come from a pool, picked by the
-shingle's hash, so that a sample costs one look-up; among equals the smaller
-hash is taken.
+shingle's hash, so that all its samples cost one look-up.
 
 Comparing. Texts equal in full are one node (by MD5). In every band group,
 members are compared with a leader, the member with most company over all
-bands. Only where a group then still holds several classes, members outside the
-leader's class are held against the whole group, by 125-byte signatures in
-blocks, and pairs that look similar are compared in full. No group is collected
-into one task, and no group is expanded into all its pairs.
+bands. Only where candidates that hang together then still hold several classes,
+members of different classes are held against each other, by 125-byte signatures
+in blocks, and those that look similar are compared in full. No group is
+collected into one task, and no group is expanded into all its pairs.
 
 Defined results: texts without words (null, empty) are alone in their class;
 texts of fewer than 5 words are one shingle; repeated rows share a class; a
@@ -41,25 +40,25 @@ from pyspark.sql import functions as F
 
 from millrace.llm._shared import settle, staged, table
 from millrace.llm.components import components
-from millrace.llm.substrings import U, _scramble, rolling, word_hashes, words_of
+from millrace.llm.substrings import rolling
+from millrace.llm.words import U, scramble, utf8, words_in
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 COMMON, DAMPING = 0.01, 0.25
 #: Random variables in the pool of each sample.
-POOL = 1 << 14
+POOL = 1 << 15
 #: Estimated similarity from which a pair of signatures is compared in full (five deviations below the threshold).
 LOOKS_SIMILAR = 0.62
 #: Signatures in a block; candidates for common shingles that may be broadcast (16 bytes each).
-BLOCK, BROADCAST_SHINGLES = 512, 2_000_000
+BLOCK, BROADCAST_SHINGLES = 1024, 2_000_000
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of a text, ascending, and how often each occurs."""
-    words = words_of(text)
-    if not words:
+    h = words_in(utf8(text))[2]
+    if not len(h):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = word_hashes(words)
     return np.unique(rolling(h, min(size, len(h)), 0), return_counts=True)
 
 
@@ -82,48 +81,49 @@ class Weights:
 
 
 class Sampler:
-    """Improved consistent weighted sampling with pooled random variables."""
+    """Improved consistent weighted sampling with pooled random variables.
+
+    Tables have a row per place in the pool and a column per sample, so that a
+    shingle's variables lie side by side. Of shingles in one place of the pool,
+    the one with the smaller hash stands for both.
+    """
 
     def __init__(self, samples: int, seed: int = 20260102):
         rng = np.random.default_rng(seed)
-        self.odd = rng.integers(1, 2**63, size=samples, dtype=np.uint64) * U(2) + U(1)
-        self.r = rng.gamma(2.0, 1.0, (samples, POOL))
-        self.log_c = np.log(rng.gamma(2.0, 1.0, (samples, POOL)))
-        self.beta = rng.random((samples, POOL))
+        shape = (POOL, samples)
+        self.r = rng.gamma(2.0, 1.0, shape).astype(np.float32)
+        self.log_c = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32)
+        self.beta = rng.random(shape, dtype=np.float32)
+        self.salt = np.arange(samples, dtype=np.uint64)
         self.usual = 1.0 + DAMPING
-        every = np.arange(POOL)[None, :].repeat(samples, 0)
-        self.usual_a, self.usual_t = self._draw(np.arange(samples)[:, None], every, math.log(self.usual))
-        self.usual_a = self.usual_a.astype(np.float32)
+        self.usual_a = self._rows(np.arange(POOL), np.full(POOL, self.usual))
 
-    def _draw(self, k: np.ndarray, p: np.ndarray, log_weight) -> tuple[np.ndarray, np.ndarray]:
-        r, beta = self.r[k, p], self.beta[k, p]
-        t = np.floor(log_weight / r + beta)
-        return self.log_c[k, p] - r * (t - beta) - r, t.astype(np.int64)
+    def _rows(self, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The logarithms of what is minimised, a row per shingle."""
+        r = self.r[places]
+        t = np.floor(np.log(weights).astype(np.float32)[:, None] / r + self.beta[places])
+        return self.log_c[places] - r * (t - self.beta[places]) - r
 
     def __call__(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One 64-bit sample per sampling of a weighted set with ascending hashes."""
-        samples = len(self.odd)
-        k = np.arange(samples)
-        best, chosen, steps = np.full(samples, np.inf, np.float32), np.zeros(samples, np.uint64), np.zeros(samples, np.int64)
+        samples = len(self.salt)
+        best, chosen = np.full(samples, np.inf, np.float32), np.zeros(samples, np.int64)
+        places = (scramble(hashes) % U(POOL)).astype(np.int64)
         for i in range(0, len(hashes), 1 << 13):
-            h, w = hashes[i : i + (1 << 13)], weights[i : i + (1 << 13)]
-            p = (h[None, :] * self.odd[:, None] >> U(50)).astype(np.int64)
-            a = np.take_along_axis(self.usual_a, p, axis=1)
+            p, w = places[i : i + (1 << 13)], weights[i : i + (1 << 13)]
+            a = self.usual_a[p]
             other = np.flatnonzero(w != self.usual)
             if len(other):
-                a[:, other], t_other = self._draw(k[:, None], p[:, other], np.log(w[other])[None, :])
-            at = np.argmin(a, axis=1)
-            least = a[k, at]
-            t = self.usual_t[k, p[k, at]]
-            if len(other):
-                place = np.full(len(h), -1)
-                place[other] = np.arange(len(other))
-                special = place[at] >= 0
-                t[special] = t_other[k[special], place[at[special]]]
+                a[other] = self._rows(p[other], w[other])
+            least = a.min(axis=0)
+            row, k = np.nonzero(a == least)
+            first = np.zeros(samples, np.int64)
+            first[k[::-1]] = row[::-1]
             better = least < best
-            best[better], chosen[better], steps[better] = least[better], h[at[better]], t[better]
-        with np.errstate(over="ignore"):
-            return _scramble(chosen ^ _scramble(steps.view(np.uint64) * U(0x9E3779B97F4A7C15) + k.astype(np.uint64)))
+            best[better], chosen[better] = least[better], first[better] + i
+        r, beta = self.r[places[chosen], np.arange(samples)], self.beta[places[chosen], np.arange(samples)]
+        t = np.floor(np.log(weights[chosen]).astype(np.float32) / r + beta).astype(np.int64)
+        return scramble(hashes[chosen] ^ scramble(t.view(np.uint64) * U(0x9E3779B97F4A7C15) + self.salt))
 
 
 def bands_of(samples: np.ndarray) -> np.ndarray:
@@ -131,7 +131,7 @@ def bands_of(samples: np.ndarray) -> np.ndarray:
     parts = samples.reshape(BANDS, ROWS)
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
     for j in range(ROWS):
-        out = _scramble(out * U(0x9E3779B97F4A7C15) + parts[:, j])
+        out = scramble(out * U(0x9E3779B97F4A7C15) + parts[:, j])
     return out.view(np.int64)
 
 
@@ -193,7 +193,7 @@ def common_shingles(texts: DataFrame, documents: int) -> tuple[np.ndarray, np.nd
         return np.zeros(0, np.uint64), np.zeros(0)
     wanted = None
     if n_able <= BROADCAST_SHINGLES:
-        wanted = texts.sparkSession.sparkContext.broadcast(np.sort(np.array([r["h"] for r in able.select("h").toLocalIterator()], dtype=np.int64).view(np.uint64)))
+        wanted = texts.sparkSession.sparkContext.broadcast(np.sort(able.select("h").toArrow().column(0).to_numpy().view(np.uint64)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -268,51 +268,74 @@ def _verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> Da
     return met.mapInArrow(run, "u binary, v binary")
 
 
-def _unresolved(bands: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs that look similar, of different classes, in band groups that hold several.
+def _unresolved(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
+    """Links ``u, v`` between classes whose members share bands, directly or through others.
 
-    Members outside the leader's class meet all members of their group, block
-    by block; only pairs whose signatures look similar come out.
+    Candidates that still hold several classes are dealt in blocks, and every
+    two blocks meet in one task. There, members of different classes whose
+    signatures look similar are compared in full, the likeliest first; a link
+    joins two classes for the rest of the task, so that a task gives fewer links
+    than it has members.
     """
-    known = bands.join(roots, F.col("key") == F.col("node"), "left").select("band", "key", "lead", F.coalesce("root", "key").alias("root"))
-    lead_root = known.filter("key = lead").select(F.col("band").alias("_b"), F.col("root").alias("lead_root"))
-    known = settle(known.join(lead_root, F.col("band") == F.col("_b")).drop("_b", "lead"))
-    open_groups = known.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.sum((F.col("root") != F.col("lead_root")).cast("int")).alias("outside")).filter("outside > 0")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = known.join(open_groups.select(F.col("band").alias("_b"), blocks.alias("blocks")), F.col("band") == F.col("_b")).drop("_b")
-    signed = rows.join(nodes.select(F.col("key").alias("_k"), "signature"), F.col("key") == F.col("_k")).drop("_k")
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    outside = F.col("root") != F.col("lead_root")
-    left = signed.filter(outside).select("band", own.alias("i"), F.explode(every).alias("j"), F.lit(True).alias("outside"), "key", "root", "signature")
-    right = signed.select("band", F.explode(every).alias("i"), own.alias("j"), F.lit(False).alias("outside"), "key", "root", "signature")
-    met = left.unionByName(right).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", F.desc("outside"))
+    candidates = components(pairs).select(F.col("node").alias("key"), F.col("root").alias("group"))
+    members = candidates.join(roots, F.col("key") == F.col("node"), "left").select("key", "group", F.coalesce("root", "key").alias("root"))
+    members = settle(members)
+    open_groups = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    rows = members.join(open_groups.select(F.col("group").alias("_g"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), F.col("group") == F.col("_g")).drop("_g")
+    rows = rows.join(nodes.select(F.col("key").alias("_k"), "signature"), F.col("key") == F.col("_k")).drop("_k")
+    rows = rows.join(texts.select(F.col("key").alias("_k"), "text"), F.col("key") == F.col("_k")).drop("_k")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    kept = ("key", "root", "signature", "text")
+    left = rows.select("group", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), *kept)
+    right = rows.filter("own > 0").select("group", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), *kept)
+    met = left.unionByName(right).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, a, b = None, [], []
+        now, held = None, []
+        for batch in batches:
+            for group, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, i, j) != now:
+                    yield _join_classes(held, weights.value, threshold, now)
+                    now, held = (group, i, j), []
+                held.append(row)
+        yield _join_classes(held, weights.value, threshold, now)
 
-        def out() -> pa.RecordBatch:
-            u, v = [], []
-            if a and b:
-                x = np.frombuffer(b"".join(s for _, _, s in a), np.uint8).reshape(len(a), -1)
-                y = np.frombuffer(b"".join(s for _, _, s in b), np.uint8).reshape(len(b), -1)
-                for i, (key, root, _) in enumerate(a):
-                    like = ((x[i] == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= LOOKS_SIMILAR
-                    for j in np.flatnonzero(like).tolist():
-                        if b[j][1] != root:
-                            u.append(max(key, b[j][0]))
-                            v.append(min(key, b[j][0]))
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+    return met.mapInArrow(run, "u binary, v binary")
 
-        for batch in batches:
-            for band, i, j, outside, key, root, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (band, i, j) != now:
-                    yield out()
-                    now, a, b = (band, i, j), [], []
-                (a if outside else b).append((key, root, signature))
-        yield out()
 
-    return met.mapInArrow(run, "u binary, v binary").distinct()
+def _join_classes(rows: list[list], weigh: Weights, threshold: float, block: tuple | None) -> pa.RecordBatch:
+    """Links that join classes among the members (side, key, class, signature, text) of two blocks."""
+    u, v = [], []
+    if rows and len({r[2] for r in rows}) > 1:
+        parent = {r[2]: r[2] for r in rows}
+
+        def find(x: bytes) -> bytes:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        sets: dict[int, tuple] = {}
+
+        def shingled(k: int) -> tuple:
+            if k not in sets:
+                sets[k] = shingles(rows[k][4])
+            return sets[k]
+
+        signatures = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        left = sum(r[0] == 0 for r in rows)
+        alone = block[1] == block[2]
+        for i in range(left):
+            first = i + 1 if alone else left
+            like = ((signatures[i] == signatures[first:]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            near = np.flatnonzero(like >= LOOKS_SIMILAR)
+            for j in (first + near[np.argsort(-like[near], kind="stable")]).tolist():
+                a, b = find(rows[i][2]), find(rows[j][2])
+                if a != b and max(similarity(shingled(i), shingled(j), weigh)) >= threshold - 1e-12:
+                    parent[max(a, b)] = min(a, b)
+                    u.append(max(rows[i][1], rows[j][1]))
+                    v.append(min(rows[i][1], rows[j][1]))
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
 
 def find_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -343,8 +366,7 @@ def find_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
 
     links = settle(_verify(pairs, texts, weights, threshold))
     roots = settle(components(links))
-    more = settle(_unresolved(bands, roots, nodes))
-    found = settle(_verify(more, texts, weights, threshold))
+    found = settle(_unresolved(pairs, roots, nodes, texts, weights, threshold))
     if found.limit(1).count():
         roots = settle(components(links.unionByName(found)))
 
@@ -360,10 +382,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Of rows that repeat it in full, one stays; documents without words all stay.
     """
     found = settle(find_classes(docs, doc_id, text))
-    stay = found.filter(F.col("doc").eqNullSafe(F.col("class_id"))).groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n"))
-    repeated = stay.filter("n > 1").limit(1).count()
+    stay = found.filter(F.col("doc").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc").alias("_stay_doc"), F.col("key").alias("_stay_key")).agg(F.count(F.lit(1)).alias("_stay_n"))
+    repeated = stay.filter("_stay_n > 1").limit(1).count()
     here = docs.withColumn("_key", text_key(text))
-    kept = here.join(stay.drop("n"), F.col(doc_id).eqNullSafe(F.col("doc")) & (F.col("_key") == F.col("key")), "left_semi")
+    kept = here.join(stay, F.col(doc_id).eqNullSafe(F.col("_stay_doc")) & (F.col("_key") == F.col("_stay_key")), "left_semi")
     if repeated:
         wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
         kept = kept.filter(wordless).unionByName(kept.filter(~wordless).dropDuplicates([doc_id, "_key"]))
