@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files and checkpoints that no plan refers to any more.
+
+    Spark removes them when the driver's memory is collected, which a driver with
+    room to spare puts off, while many small files of finished rounds add up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Computes ``df`` once into a Parquet table in the shared folder."""
     spark = df.sparkSession

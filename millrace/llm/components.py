@@ -45,6 +45,14 @@ def components(links: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def contracted(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``u, v`` between the roots of the nodes that ``links`` join; a node without a root is its own."""
+    a = roots.select(F.col("node").alias("_a"), F.col("root").alias("_ra"))
+    b = roots.select(F.col("node").alias("_b"), F.col("root").alias("_rb"))
+    joined = links.join(a, F.col("u") == F.col("_a"), "left").join(b, F.col("v") == F.col("_b"), "left")
+    return joined.select(F.coalesce("_ra", "u").alias("u"), F.coalesce("_rb", "v").alias("v")).filter("u <> v").distinct()
+
+
 def _stamp(links: DataFrame) -> tuple:
     """The number of links and an order-free checksum of them."""
     return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).head())

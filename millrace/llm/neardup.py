@@ -4,6 +4,9 @@ A text is the weighted set of its 5-word shingles, weighted by TF-IDF. Samples
 of improved consistent weighted sampling are equal between two texts with the
 probability of their weighted Jaccard similarity. Samples are banded, texts that
 share a band are compared, and links of at least ``threshold`` make classes.
+Both rules of a link have samples: a text is sampled with its weights and with
+equal weights, whose samples are equal with the probability of the plain Jaccard
+similarity. Either may make two texts candidates.
 
 Weights. A shingle weighs ``tf * (1 + DAMPING * idf)``, where ``idf`` falls from
 1 for shingles in at most ``COMMON`` of all documents to 0 for those in all.
@@ -14,13 +17,15 @@ share. A pair is linked if its weighted Jaccard similarity reaches the
 threshold, or the plain Jaccard similarity of its shingle sets does.
 
 Sampling. The random variables of a shingle come from a pool, picked by the
-shingle's hash, so that all its samples cost one look-up.
+shingle's hash, so that all its samples cost one look-up. Both sets of samples
+use the same variables, so that a text of usual weights is sampled once.
 
 Comparing. Texts equal in full are one node (by MD5). In every band group,
 members are compared with a leader, the member with most company over all
 bands. Only where candidates that hang together then still hold several classes,
-members of different classes are held against each other, by 125-byte signatures
-in blocks, and those that look similar are compared in full. No group is
+members of different classes are held against each other, by two signatures of
+125 bytes (weighted and plain) in blocks, and those that look similar by either
+are compared in full. No group is
 collected into one task, and no group is expanded into all its pairs.
 
 Defined results: texts without words (null, empty) are alone in their class;
@@ -38,8 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import settle, staged, table
-from millrace.llm.components import components
+from millrace.llm._shared import release, settle, staged, table
+from millrace.llm.components import components, contracted
 from millrace.llm.substrings import rolling
 from millrace.llm.words import U, scramble, utf8, words_in
 
@@ -106,26 +111,46 @@ class Sampler:
 
     def __call__(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One 64-bit sample per sampling of a weighted set with ascending hashes."""
+        return self.both(hashes, weights)[0]
+
+    def both(self, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The samples of a weighted set, and those of the same set with equal weights."""
         samples = len(self.salt)
-        best, chosen = np.full(samples, np.inf, np.float32), np.zeros(samples, np.int64)
+        best, chosen = np.full((2, samples), np.inf, np.float32), np.zeros((2, samples), np.int64)
         places = (scramble(hashes) % U(POOL)).astype(np.int64)
         for i in range(0, len(hashes), 1 << 13):
             p, w = places[i : i + (1 << 13)], weights[i : i + (1 << 13)]
             a = self.usual_a[p]
+            found = _least(a)
             other = np.flatnonzero(w != self.usual)
-            if len(other):
-                a[other] = self._rows(p[other], w[other])
-            least = a.min(axis=0)
-            row, k = np.nonzero(a == least)
-            first = np.zeros(samples, np.int64)
-            first[k[::-1]] = row[::-1]
-            better = least < best
-            best[better], chosen[better] = least[better], first[better] + i
-        r, beta = self.r[places[chosen], np.arange(samples)], self.beta[places[chosen], np.arange(samples)]
-        t = np.floor(np.log(weights[chosen]).astype(np.float32) / r + beta).astype(np.int64)
+            for side in (1, 0):
+                if side == 0 and len(other):
+                    a[other] = self._rows(p[other], w[other])
+                    found = _least(a)
+                least, first = found
+                better = least < best[side]
+                best[side, better], chosen[side, better] = least[better], first[better] + i
+        plain = self._samples(hashes, places, chosen[1], np.full(samples, self.usual))
+        if (weights == self.usual).all():
+            return plain, plain
+        return self._samples(hashes, places, chosen[0], weights[chosen[0]]), plain
+
+    def _samples(self, hashes: np.ndarray, places: np.ndarray, chosen: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The 64-bit samples of the shingles chosen, with their weights."""
+        at = places[chosen], np.arange(len(chosen))
+        t = np.floor(np.log(weights).astype(np.float32) / self.r[at] + self.beta[at]).astype(np.int64)
         return scramble(hashes[chosen] ^ scramble(t.view(np.uint64) * U(0x9E3779B97F4A7C15) + self.salt))
 
 
+def _least(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least of every column and the first row that has it."""
+    least = a.min(axis=0)
+    row, k = np.nonzero(a == least)
+    first = np.zeros(a.shape[1], np.int64)
+    first[k[::-1]] = row[::-1]
+    return least, first
+
+
 def bands_of(samples: np.ndarray) -> np.ndarray:
     """One 64-bit value per band."""
     parts = samples.reshape(BANDS, ROWS)
@@ -225,7 +250,11 @@ def text_key(text: str):
 
 
 def sign(docs: DataFrame, doc_id: str, text: str, weights) -> DataFrame:
-    """``doc, key, bands, signature`` of every document; no bands where there are no words."""
+    """``doc, key, bands, signature`` of every document; no bands where there are no words.
+
+    Bands are those of the weighted and of the plain samples, each once, and a
+    signature is the weighted one followed by the plain one.
+    """
     from pyspark.sql import types as T
 
     rows = docs.select(F.col(doc_id).alias("doc"), text_key(text).alias("key"), F.col(text).alias("_text"))
@@ -238,9 +267,10 @@ def sign(docs: DataFrame, doc_id: str, text: str, weights) -> DataFrame:
             for body in batch.column(2):
                 h, n = shingles(body.as_py())
                 if len(h):
-                    samples = sampler(h, weigh(h, n))
-                    bands.append(bands_of(samples))
-                    signatures.append((samples >> U(17)).astype(np.uint8).tobytes())
+                    weighted, plain = sampler.both(h, weigh(h, n))
+                    own = bands_of(plain)
+                    bands.append(own if weighted is plain else np.unique(np.concatenate((bands_of(weighted), own))))
+                    signatures.append((np.concatenate((weighted, plain)) >> U(17)).astype(np.uint8).tobytes())
                 else:
                     bands.append(np.zeros(0, np.int64))
                     signatures.append(b"")
@@ -271,16 +301,17 @@ def _verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> Da
 def _unresolved(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
     """Links ``u, v`` between classes whose members share bands, directly or through others.
 
-    Candidates that still hold several classes are dealt in blocks, and every
+    Classes that pairs connect form groups, all members of which are dealt in blocks, and every
     two blocks meet in one task. There, members of different classes whose
     signatures look similar are compared in full, the likeliest first; a link
     joins two classes for the rest of the task, so that a task gives fewer links
     than it has members.
     """
-    candidates = components(pairs).select(F.col("node").alias("key"), F.col("root").alias("group"))
-    members = candidates.join(roots, F.col("key") == F.col("node"), "left").select("key", "group", F.coalesce("root", "key").alias("root"))
-    members = settle(members)
-    open_groups = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    groups = components(contracted(pairs, roots)).select(F.col("node").alias("_n"), F.col("root").alias("group"))
+    linked = roots.join(groups, F.col("root") == F.col("_n")).select(F.col("node").alias("key"), "group", "root")
+    alone = groups.join(roots, F.col("_n") == F.col("node"), "left_anti").select(F.col("_n").alias("key"), "group", F.col("_n").alias("root"))
+    members = settle(linked.unionByName(alone))
+    open_groups = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     rows = members.join(open_groups.select(F.col("group").alias("_g"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), F.col("group") == F.col("_g")).drop("_g")
     rows = rows.join(nodes.select(F.col("key").alias("_k"), "signature"), F.col("key") == F.col("_k")).drop("_k")
     rows = rows.join(texts.select(F.col("key").alias("_k"), "text"), F.col("key") == F.col("_k")).drop("_k")
@@ -322,12 +353,12 @@ def _join_classes(rows: list[list], weigh: Weights, threshold: float, block: tup
                 sets[k] = shingles(rows[k][4])
             return sets[k]
 
-        signatures = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        signatures = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), 2, -1)
         left = sum(r[0] == 0 for r in rows)
         alone = block[1] == block[2]
         for i in range(left):
             first = i + 1 if alone else left
-            like = ((signatures[i] == signatures[first:]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            like = ((signatures[i] == signatures[first:]).mean(axis=2).max(axis=1, initial=0.0) - 1 / 256) / (1 - 1 / 256)
             near = np.flatnonzero(like >= LOOKS_SIMILAR)
             for j in (first + near[np.argsort(-like[near], kind="stable")]).tolist():
                 a, b = find(rows[i][2]), find(rows[j][2])
@@ -366,11 +397,13 @@ def find_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
 
     links = settle(_verify(pairs, texts, weights, threshold))
     roots = settle(components(links))
+    release(spark)
     found = settle(_unresolved(pairs, roots, nodes, texts, weights, threshold))
-    if found.limit(1).count():
-        roots = settle(components(links.unionByName(found)))
-
+    release(spark)
     placed = nodes.select("key", "doc").join(roots, F.col("key") == F.col("node"), "left").select("key", "doc", F.coalesce("root", "key").alias("root"))
+    if found.limit(1).count():
+        joined = settle(components(contracted(found, roots))).select(F.col("node").alias("_n"), F.col("root").alias("_joined"))
+        placed = placed.join(joined, F.col("root") == F.col("_n"), "left").select("key", "doc", F.coalesce("_joined", "root").alias("root"))
     named = placed.groupBy("root").agg(F.min("doc").alias("class_id")).withColumnRenamed("root", "_r")
     classes = settle(placed.join(named, F.col("root") == F.col("_r")).select(F.col("key").alias("_k"), "class_id"))
     return signed.select("doc", "key").join(classes, F.col("key") == F.col("_k"), "left").select("doc", "key", F.coalesce("class_id", "doc").alias("class_id"))

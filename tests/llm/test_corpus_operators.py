@@ -300,6 +300,40 @@ def test_classes_against_brute_force(spark, prose):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, c in want.items() if d == c)
 
 
+def same_shingles(n, much, few):
+    """Two texts of the same 5-word shingles, of which those of one line occur more often in the first."""
+    body, line = [f"n{n}w{i}" for i in range(500)], [f"n{n}line{i}" for i in range(9)]
+    return [" ".join([*body, *line * k]) for k in (much, few)]
+
+
+def test_texts_of_equal_shingles_in_other_counts_share_a_class(spark):
+    rows = [(2 * n + k, t) for n in range(12) for k, t in enumerate(same_shingles(n, 200, 20))]
+    weigh = neardup.Weights(len(rows), np.zeros(0, np.uint64), np.zeros(0))
+    weighted, plain = neardup.similarity(*(neardup.shingles(t) for _, t in rows[:2]), weigh)
+    assert weighted < 0.4 and plain == 1.0
+    want, links = near_classes(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert links == 12 and {r["doc"]: r["class_id"] for r in neardup.find_classes(df).collect()} == want
+    assert sorted(r["doc_id"] for r in neardup.keep_one(df).collect()) == list(range(0, 24, 2))
+
+
+def test_blocks_compare_what_looks_similar_by_either_signature(spark):
+    weights = spark.sparkContext.broadcast(neardup.Weights(2, np.zeros(0, np.uint64), np.zeros(0)))
+    df = spark.createDataFrame(list(enumerate(same_shingles(0, 200, 20))), "doc_id long, text string")
+    texts = dict(df.collect())
+    rows = [[0, r["key"], r["key"], r["signature"], texts[r["doc"]]] for r in neardup.sign(df, "doc_id", "text", weights).collect()]
+    assert neardup._join_classes(rows, weights.value, neardup.THRESHOLD, (0, 0, 0)).num_rows == 1
+
+
+def test_plain_samples_follow_plain_similarity():
+    rng = np.random.default_rng(7)
+    sampler = neardup.Sampler(2000)
+    h = np.sort(rng.integers(0, 2**63, 90).astype(np.uint64))
+    w, v = rng.choice([1.0, 1.25, 25.0], 75), rng.choice([1.0, 1.25, 25.0], 75)
+    x, y = sampler.both(h[:75], w), sampler.both(h[15:], v)
+    assert abs((x[1] == y[1]).mean() - 60 / 90) < 0.04 and (x[0] == sampler(h[:75], w)).all()
+
+
 def test_recall_of_bands():
     rng = np.random.default_rng(5)
     sampler, found, agree = neardup.Sampler(neardup.BANDS * neardup.ROWS), 0, []
