@@ -11,8 +11,10 @@ bound. While they differ, bin completion looks for fewer sequences: around the
 largest remaining document it enumerates fillings that no other dominates, least
 waste first, and abandons a branch once its waste exceeds what one sequence
 fewer would allow. Completed branches become incumbents, as do partial ones
-closed by best fit. The search stops at a documented number of nodes and is
-never worse than best fit.
+closed by best fit. Where fillings were left out and the search ends without
+proof, it starts again with more of them. The search stops at a documented
+number of nodes (every ``STEPS`` steps of enumeration count as one) and is never
+worse than best fit.
 
 Defined results: a null text is empty and packs as its end id alone; repeated
 rows are packed each; an empty table gives no rows; texts of any length are cut
@@ -35,7 +37,8 @@ from millrace.llm.encoding import encoder
 CAPACITY = 4096
 #: Branches that the search may open (each applies a filling as often as it fits, or once).
 NODES = 2000
-#: Fillings that are weighed at a branch, and steps spent on finding them.
+#: Fillings that are weighed at a branch, and steps spent on finding them, at first. A
+#: search that ends without proof starts again with twice as many and four times the steps.
 WIDTH, STEPS = 6, 600
 
 Filling = tuple[int, ...]
@@ -100,8 +103,19 @@ def _dominated(a: Filling, b: Filling) -> bool:
     return len(a) <= 8 and fit(0, b)
 
 
-def fillings(counts: np.ndarray, room: int, width: int = WIDTH, steps: int = STEPS) -> list[Filling]:
+class Effort:
+    """How widely fillings are enumerated, the steps spent on it, and whether any were left out."""
+
+    def __init__(self, width: int = WIDTH, steps: int = STEPS):
+        self.width, self.steps, self.spent, self.cut = width, steps, 0, False
+
+    def widen(self) -> None:
+        self.width, self.steps, self.cut = 2 * self.width, 4 * self.steps, False
+
+
+def fillings(counts: np.ndarray, room: int, effort: Effort | None = None) -> list[Filling]:
     """Undominated fillings of ``room`` from the documents left, least waste first."""
+    effort = effort or Effort()
     have = np.flatnonzero(counts[: room + 1])[::-1].tolist()
     left = {x: int(counts[x]) for x in have}
     found: dict[Filling, int] = {}
@@ -119,7 +133,8 @@ def fillings(counts: np.ndarray, room: int, width: int = WIDTH, steps: int = STE
             if x > room or not left[x]:
                 continue
             fitted = True
-            if spent > steps and found:
+            if spent > effort.steps and found:
+                effort.cut = True
                 return
             left[x] -= 1
             visit(i, room - x, (*chosen, x))
@@ -128,28 +143,32 @@ def fillings(counts: np.ndarray, room: int, width: int = WIDTH, steps: int = STE
             found[chosen] = room
 
     visit(0, room, ())
-    best = sorted(found, key=lambda f: (found[f], tuple(-x for x in f)))[: 4 * width]
+    effort.spent += spent
+    best = sorted(found, key=lambda f: (found[f], tuple(-x for x in f)))
+    effort.cut |= len(best) > 4 * effort.width
     out: list[Filling] = []
-    for f in best:
+    for f in best[: 4 * effort.width]:
         if not any(_dominated(f, g) for g in out):
             out.append(f)
-    return out[:width]
+    effort.cut |= len(out) > effort.width
+    return out[: effort.width]
 
 
-def complete(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[Filling, int]]:
+def complete(counts: np.ndarray, capacity: int, nodes: int = NODES, effort: Effort | None = None) -> list[tuple[Filling, int]]:
     """Bin completion with branch and bound; see the module's text."""
     incumbent = best_fit(counts, capacity)
     used = lambda solution: sum(n for _, n in solution)
     bound, best = lower_bound(counts, capacity), used(incumbent)
     total = int((counts * np.arange(len(counts))).sum())
-    opened, restart = 0, True
-    while best > bound and opened < nodes and restart:
+    opened, restart, effort = 0, True, effort or Effort()
+    spent = lambda: max(opened, effort.spent // STEPS)
+    while best > bound and spent() < nodes and restart:
         restart = False
         left, taken, waste = counts.copy(), [], 0
         stack: list[Iterator] = []
-        step = _branches(left, capacity)
+        step = _branches(left, capacity, effort)
         stack.append(step)
-        while stack and opened < nodes:
+        while stack and spent() < nodes:
             choice = next(stack[-1], None)
             if choice is None:
                 stack.pop()
@@ -180,11 +199,14 @@ def complete(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tupl
                     restart = True
                     if best == bound:
                         break
-            stack.append(_branches(left, capacity))
+            stack.append(_branches(left, capacity, effort))
+        if not restart and not stack and effort.cut:
+            effort.widen()
+            restart = True
     return incumbent
 
 
-def _branches(left: np.ndarray, capacity: int) -> Iterator[tuple[Filling, int]]:
+def _branches(left: np.ndarray, capacity: int, effort: Effort) -> Iterator[tuple[Filling, int]]:
     """Ways to fill a sequence around the largest document: as often as it can be, then once."""
     present = np.flatnonzero(left)
     if not len(present):
@@ -192,7 +214,7 @@ def _branches(left: np.ndarray, capacity: int) -> Iterator[tuple[Filling, int]]:
     largest = int(present[-1])
     rest = left.copy()
     rest[largest] -= 1
-    options = [tuple(sorted((largest, *f), reverse=True)) for f in fillings(rest, capacity - largest)]
+    options = [tuple(sorted((largest, *f), reverse=True)) for f in fillings(rest, capacity - largest, effort)]
     often = [min(int(left[x]) // f.count(x) for x in set(f)) for f in options]
     yield from zip(options, often, strict=True)
     yield from ((f, 1) for f, n in zip(options, often, strict=True) if n > 1)

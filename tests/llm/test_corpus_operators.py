@@ -139,6 +139,18 @@ def test_sequences_hold_their_ids(spark, odd):
         assert bytes(whole[r["sequence_id"]]["ids"])[4 * r["offset"] : 4 * (r["offset"] + r["length"])] == bytes(r["ids"])
 
 
+def test_search_is_not_ended_by_the_width_of_its_enumeration(monkeypatch):
+    rng = np.random.default_rng(1)
+    used = lambda solution: sum(n for _, n in solution)
+    widened = lambda c: used(packing.complete(c, 60, effort=packing.Effort(1, 1)))
+    cases = [np.bincount(rng.integers(8, 31, int(rng.integers(9, 30))), minlength=61) for _ in range(300)]
+    cases = [c for c in cases if used(packing.best_fit(c, 60)) > packing.lower_bound(c, 60)]
+    want, got = [used(packing.solve(c, 60)) for c in cases], [widened(c) for c in cases]
+    assert got == want
+    monkeypatch.setattr(packing.Effort, "widen", lambda self: setattr(self, "spent", 10**9))  # the width ends it
+    assert sum(map(widened, cases)) > sum(want)
+
+
 # --- token files
 
 
