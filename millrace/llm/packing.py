@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm._shared import dense_rank_ids, settle, table
+from millrace.llm._worker import begin
 from millrace.llm.encoding import encoder
 
 CAPACITY = 4096
@@ -285,25 +286,21 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", te
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     fields = [rows.schema.fields[0], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("ids_crc32", T.LongType())]
     schema = T.StructType([*fields, *([T.StructField("ids", T.BinaryType())] if keep_ids else [])])
-    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, drops_space=True).encode
+        begin("packing")
+        coder = encoder(vocabulary, drops_space=True)
         for batch in batches:
-            row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for k, body in enumerate(batch.column(1)):
-                whole = encode(body.as_py()) + end
-                for p, i in enumerate(range(0, len(whole), 4 * capacity)):
-                    part = whole[i : i + 4 * capacity]
-                    row.append(k)
-                    piece.append(p)
-                    start.append(i // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if keep_ids:
-                        ids.append(part)
-            made = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*made, *([pa.array(ids, pa.binary())] if keep_ids else [])], names=[f.name for f in schema.fields])
+            for first, _, whole, bounds in coder.encode_batch(batch.column(1), end_id):
+                sizes = np.diff(bounds)
+                pieces = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, sizes[row] - start)
+                parts = [whole[a:b] for a, b in zip((bounds[row] + start).tolist(), (bounds[row] + start + length).tolist(), strict=True)]
+                made = [batch.column(0).take(pa.array(row + first)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*made, *([pa.array([x.tobytes() for x in parts], pa.binary())] if keep_ids else [])], names=[f.name for f in schema.fields])
 
     return rows.mapInArrow(run, schema)
 

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm._shared import scratch, staged, table
+from millrace.llm._worker import begin
 from millrace.llm.encoding import encoder
 
 #: Control byte -> lengths of its four numbers.
@@ -53,75 +54,83 @@ def _padded(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ends, np.arange(int(sizes.sum())) + np.repeat(shift, sizes)
 
 
-def encode_numbers(documents: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-    """``control`` and ``data`` of documents of unsigned 32-bit numbers."""
-    sizes = np.array([len(d) for d in documents], dtype=np.int64)
-    numbers = np.ascontiguousarray(np.concatenate(documents), dtype="<u4")
+def encode_numbers(numbers: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """``control`` and ``data`` of documents of unsigned 32-bit numbers that lie one after another."""
+    numbers = np.ascontiguousarray(numbers, dtype="<u4")
     code = (numbers >= 1 << 8).astype(np.uint8) + (numbers >= 1 << 16) + (numbers >= 1 << 24)
     ends, place = _padded(sizes)
-    full = np.zeros(int(ends[-1]) * 4, dtype=np.uint8)
+    full = np.zeros(int(ends[-1]) * 4 if len(ends) else 0, dtype=np.uint8)
     full[place] = code
-    control = (full.reshape(-1, 4) * _SHIFT).sum(axis=1, dtype=np.uint8).tobytes()
-    data = numbers.view(np.uint8).reshape(-1, 4)[_USED[code + 1]].tobytes()
+    control = (full.reshape(-1, 4) * _SHIFT).sum(axis=1, dtype=np.uint8)
+    data = numbers.view(np.uint8).reshape(-1, 4)[_USED[code + 1]]
     stops = np.concatenate(([0], np.cumsum(code.astype(np.int64) + 1)))[np.cumsum(sizes)]
-    return list(zip(_cut(control, ends), _cut(data, stops), strict=True))
+    return _binary(control, ends), _binary(data, stops)
 
 
-def _cut(whole: bytes, ends: np.ndarray) -> list[bytes]:
-    ends = ends.tolist()
-    return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+def _binary(whole: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Strings of bytes that lie one after another and end at ``ends``."""
+    offsets = np.concatenate(([0], ends)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(whole))]).cast(pa.binary())
 
 
-def decode_numbers(controls: list[bytes], datas: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The numbers of coded documents, by table lookup."""
-    sizes = np.array(sizes, dtype=np.int64)
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings of a column, and where each begins."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def decode_numbers(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of coded documents that lie one after another, by table lookup."""
     _, place = _padded(sizes)
-    lengths = LENGTHS[np.frombuffer(b"".join(controls), dtype=np.uint8)].ravel()[place]
+    lengths = LENGTHS[control].ravel()[place]
     out = np.zeros((len(lengths), 4), dtype=np.uint8)
-    out[_USED[lengths]] = np.frombuffer(b"".join(datas), dtype=np.uint8)
-    return np.split(out.view("<u4").ravel(), np.cumsum(sizes)[:-1])
+    out[_USED[lengths]] = data
+    return out.view("<u4").ravel()
 
 
-def _together(sizes: list[int]) -> Iterator[tuple[int, int]]:
+def _together(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of documents to be coded at once."""
-    first, held = 0, 0
-    for k, n in enumerate(sizes):
-        held += n
-        if held >= TOGETHER:
-            yield first, k + 1
-            first, held = k + 1, 0
-    if first < len(sizes):
-        yield first, len(sizes)
+    held = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(held, (held[first - 1] if first else 0) + TOGETHER, side="right")))
+        yield first, last
+        first = last
 
 
 def tokenize(docs: DataFrame, vocabulary: str, drops_space: bool, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, crc, ids`` (little-endian unsigned 16 or 32 bits) of whole texts.
+    """``doc_id, n, crc, ids`` of whole texts; ``ids`` are little-endian unsigned numbers.
 
-    16 bits are used while all ids of a document fit; ``wide`` tells which.
+    They have 16 bits where the vocabulary has no more than that, else 32; ``n``
+    tells which.
     """
     from pyspark.sql import types as T
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    schema = T.StructType([rows.schema.fields[0], T.StructField("crc", T.LongType()), T.StructField("wide", T.BooleanType()), T.StructField("ids", T.BinaryType())])
-    end = end_id.to_bytes(4, "little")
+    schema = T.StructType([rows.schema.fields[0], T.StructField("crc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, drops_space).encode
+        begin("token files")
+        coder = encoder(vocabulary, drops_space)
+        kind = "<u2" if max(end_id, coder.tokenizer.get_vocab_size() - 1) < 1 << 16 else "<u4"
         for batch in batches:
-            crc, wide, ids = [], [], []
-            for body in batch.column(1):
-                whole = encode(body.as_py()) + end
-                numbers = np.frombuffer(whole, dtype="<u4")
-                crc.append(zlib.crc32(whole))
-                wide.append(bool(numbers.max() >= 1 << 16))
-                ids.append(whole if wide[-1] else numbers.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64()), pa.array(wide, pa.bool_()), pa.array(ids, pa.binary())], names=[f.name for f in schema.fields])
+            for first, last, whole, bounds in coder.encode_batch(batch.column(1), end_id):
+                places = bounds.tolist()
+                crc = [zlib.crc32(whole[a:b]) for a, b in zip(places[:-1], places[1:], strict=True)]
+                ids = whole.astype(kind)
+                made = [pa.array(crc, pa.int64()), pa.array(np.diff(bounds)), _binary(ids.view(np.uint8), bounds[1:] * ids.itemsize)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *made], names=[f.name for f in schema.fields])
 
     return rows.mapInArrow(run, schema)
 
 
-def _numbers(ids: pa.Scalar, wide: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(ids.as_buffer(), dtype="<u4" if wide.as_py() else "<u2")
+def _numbers(ids: pa.Array, n: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all documents of a column, and how many each has."""
+    sizes = n.to_numpy(zero_copy_only=False)
+    data, bounds = _bytes(ids)
+    return data.view("<u4" if bounds[-1] == 4 * sizes.sum() else "<u2"), sizes
 
 
 def count_ids(tokens: DataFrame) -> DataFrame:
@@ -131,14 +140,14 @@ def count_ids(tokens: DataFrame) -> DataFrame:
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
-                n = np.bincount(np.concatenate([_numbers(i, w) for i, w in zip(batch.column(0), batch.column(1), strict=True)]))
+                n = np.bincount(_numbers(batch.column(0), batch.column(1))[0])
                 if len(n) > len(total):
                     total, n = n.astype(np.int64), total
                 total[: len(n)] += n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    return tokens.select("ids", "wide").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(tokens: DataFrame, path: str) -> None:
@@ -163,15 +172,18 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
 
         rank, part, at = shared.value, TaskContext.get().partitionId(), 0
         for batch in batches:
-            numbers = [_numbers(i, w) for i, w in zip(batch.column(1), batch.column(2), strict=True)]
-            n = np.array([len(x) for x in numbers], dtype=np.int64)
-            coded = [c for a, b in _together(n.tolist()) for c in encode_numbers([rank[x] for x in numbers[a:b]])]
-            made = [pa.array(n), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(at + np.cumsum(n) - n, pa.int64()), batch.column(0), *made], names=[f.name for f in schema.fields])
-            at += int(n.sum())
+            if not batch.num_rows:
+                continue
+            numbers, sizes = _numbers(batch.column(1), batch.column(2))
+            ends = np.cumsum(sizes)
+            for a, b in _together(sizes):
+                control, data = encode_numbers(rank[numbers[ends[a] - sizes[a] : ends[b - 1]]], sizes[a:b])
+                made = [pa.array(np.full(b - a, part, np.int32)), pa.array(at + ends[a:b] - sizes[a:b], pa.int64()), batch.column(0).slice(a, b - a), pa.array(sizes[a:b]), control, data]
+                yield pa.RecordBatch.from_arrays(made, names=[f.name for f in schema.fields])
+            at += int(ends[-1])
 
     # Rows are put in order before they are coded: the range is then found without running Python twice.
-    ordered = tokens.repartitionByRange("doc_id", "crc").sortWithinPartitions("doc_id", "crc").select("doc_id", "ids", "wide")
+    ordered = tokens.repartitionByRange("doc_id", "crc").sortWithinPartitions("doc_id", "crc").select("doc_id", "ids", "n")
     ordered.mapInArrow(code, schema).write.option("compression", "zstd").parquet(f"{path}/tokens")
 
 
@@ -198,10 +210,16 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value
         for batch in batches:
-            sizes, controls, datas = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            whole = [ids[x].tobytes() for a, b in _together(sizes) for x in decode_numbers(controls[a:b], datas[a:b], sizes[a:b])]
-            made = [*[batch.column(i) for i in range(3)], pa.array([zlib.crc32(x) for x in whole], pa.int64()), *([pa.array(whole, pa.binary())] if with_ids else [])]
-            yield pa.RecordBatch.from_arrays(made, names=[f.name for f in schema.fields])
+            if not batch.num_rows:
+                continue
+            sizes = batch.column(2).to_numpy(zero_copy_only=False)
+            (control, controls), (data, datas) = _bytes(batch.column(3)), _bytes(batch.column(4))
+            for a, b in _together(sizes):
+                whole = ids[decode_numbers(control[controls[a] : controls[b]], data[datas[a] : datas[b]], sizes[a:b])]
+                ends = np.cumsum(sizes[a:b])
+                places = [0, *ends.tolist()]
+                made = [*[batch.column(i).slice(a, b - a) for i in range(3)], pa.array([zlib.crc32(whole[x:y]) for x, y in zip(places[:-1], places[1:], strict=True)], pa.int64()), *([_binary(whole.view(np.uint8), ends * 4)] if with_ids else [])]
+                yield pa.RecordBatch.from_arrays(made, names=[f.name for f in schema.fields])
 
     placed = rows.join(F.broadcast(first), F.col("part") == F.col("_part"))
     return placed.select("doc_id", (F.col("_first") + F.col("start_in_part")).alias("start"), "n_tokens", "control", "data").mapInArrow(run, schema)

@@ -9,11 +9,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import encoding, neardup, packing, registry, substrings, token_files
+from millrace.llm import _worker, encoding, neardup, packing, registry, substrings, token_files
 from millrace.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -31,15 +32,44 @@ def test_chunked_encoding_is_the_library_encoding(path, drops_space):
     texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
     for t in [*texts, "", None]:
         want = e.tokenizer.encode(t or "", add_special_tokens=False).ids
-        assert np.frombuffer(e.encode(t), "<u4").tolist() == want, repr(t)
+        assert e.encode(t) == want, repr(t)
+    for together in (1, 200, 1 << 20):
+        encoding.TOGETHER, kept = together, encoding.TOGETHER
+        column = pa.array([*texts[:300], None, ""]).slice(7)
+        for first, last, ids, bounds in e.encode_batch(column, 9):
+            for k in range(first, last):
+                want = e.tokenizer.encode(column[k].as_py() or "", add_special_tokens=False).ids
+                assert ids[bounds[k - first] : bounds[k - first + 1]].tolist() == [*want, 9]
+        assert last == len(column)
+        encoding.TOGETHER = kept
+
+
+@pytest.mark.parametrize(("path", "drops_space"), [(BYTE, False), (WORDS, True)])
+def test_corpus_texts_have_the_library_encoding(spark, path, drops_space):
+    e = encoding.Encoder(path, drops_space)
+    column = pa.array([r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()])
+    want = e.tokenizer.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)
+    for first, _, ids, bounds in e.encode_batch(column, 7):
+        for k, (a, b) in enumerate(itertools.pairwise(bounds.tolist())):
+            assert ids[a:b].tolist() == [*want[first + k].ids, 7]
 
 
 def test_memory_of_chunks_is_bounded(monkeypatch):
     monkeypatch.setattr(encoding, "MEMORY", 10)
     e = encoding.Encoder(BYTE, False)
-    text = " ".join(f"w{i}" for i in range(100))
-    first = e.encode(text)
-    assert len(e) <= 11 and len(e.older) <= 11 and e.encode(text) == first
+    texts = [" ".join(f"w{i}" for i in range(k, k + 5)) for k in range(100)]
+    first = [e.encode(t) for t in texts]
+    assert len(e.hashes) <= 10 and len(e.ids) <= 60 and [e.encode(t) for t in texts] == first
+
+
+def test_a_worker_serves_one_operator_at_a_time():
+    _worker.begin("one")
+    assert _worker.held("k", list) is _worker.held("k", list)
+    kept = _worker.held("k", list)
+    _worker.begin("one")
+    assert _worker.held("k", list) is kept
+    _worker.begin("two")
+    assert not _worker._held and _worker.held("k", list) is not kept
 
 
 # --- packing
@@ -157,12 +187,16 @@ def test_search_is_not_ended_by_the_width_of_its_enumeration(monkeypatch):
 def test_numbers_round_trip():
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, 2 ** rng.integers(1, 33), rng.integers(0, 40), dtype=np.uint64).astype(np.uint32) for _ in range(200)]
-    coded = token_files.encode_numbers(docs)
-    back = token_files.decode_numbers([c for c, _ in coded], [d for _, d in coded], [len(d) for d in docs])
-    assert all((a == b).all() and len(a) == len(b) for a, b in zip(docs, back, strict=True))
-    control, data = token_files.encode_numbers([np.array([1, 300, 70000, 2**31, 5], np.uint32)])[0]
-    assert control == bytes([0b11100100, 0]) and data == bytes([1, 44, 1, 112, 17, 1, 0, 0, 0, 128, 5])
-    assert list(token_files._together([token_files.TOGETHER, 1, 2])) == [(0, 1), (1, 3)]
+    sizes = np.array([len(d) for d in docs])
+    control, data = token_files.encode_numbers(np.concatenate(docs), sizes)
+    (c, cs), (d, ds) = token_files._bytes(control), token_files._bytes(data)
+    for a, b in ((0, 200), (3, 90), (5, 5), (150, 200)):
+        back = token_files.decode_numbers(c[cs[a] : cs[b]], d[ds[a] : ds[b]], sizes[a:b])
+        assert back.tolist() == [int(x) for doc in docs[a:b] for x in doc]
+    control, data = token_files.encode_numbers(np.array([1, 300, 70000, 2**31, 5], np.uint32), np.array([5]))
+    assert control[0].as_py() == bytes([0b11100100, 0]) and data[0].as_py() == bytes([1, 44, 1, 112, 17, 1, 0, 0, 0, 128, 5])
+    most = token_files.TOGETHER
+    assert list(token_files._together(np.array([most, 1, 2, 3 * most, 1]))) == [(0, 1), (1, 3), (3, 4), (4, 5)]
 
 
 def test_token_store(spark, odd, empty, tmp_path):
