@@ -16,13 +16,16 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 def scratch(spark: SparkSession) -> str:
     """The shared folder of the session (``spark.checkpoint.dir``).
 
-    Where the setting is missing, as in tests, a local folder is made once.
+    Where the setting is missing, as in tests, a local folder is made once; a
+    cluster must name one that all its executors share.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="millrace-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
@@ -32,8 +35,9 @@ def scratch(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Computes ``df`` once into a reliable checkpoint.
 
-    Meant for narrow rows (ids, counts, spans). Spark's cleaner removes the
-    files when no plan refers to them any more.
+    Meant for narrow rows (ids, counts, spans). Where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on, Spark's cleaner
+    removes the files when no plan refers to them any more.
     """
     scratch(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -49,12 +53,32 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Computes ``df`` once into a Parquet table in the shared folder."""
+def stage(df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
+    """Computes ``df`` once into a Parquet table in the shared folder; the table, and where it is."""
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """As :func:`stage`, for a table that the result reads, which stays until its owner removes it."""
+    return stage(df, codec)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that no plan reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def free_prefix(*columns: list[str]) -> str:
+    """A prefix that no column's name begins with, for columns that are added and dropped again."""
+    names = [c.lower() for group in columns for c in group]
+    prefix = "_"
+    while any(c.startswith(prefix) for c in names):
+        prefix += "_"
+    return prefix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,21 +103,22 @@ def dense_rank_ids(
     per group and part), running totals of those counts give each part its
     first number, and rows are numbered inside their part only.
     """
-    df = df.withColumn("_block", block)
-    keys = [*group, "_block"]
-    counts = (base.withColumn("_block", block) if base is not None else df).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    p = free_prefix(df.columns, base.columns if base is not None else [])
+    df = df.withColumn(f"{p}block", block)
+    keys = [*group, f"{p}block"]
+    counts = (base.withColumn(f"{p}block", block) if base is not None else df).groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{p}n"))
+    before = Window.partitionBy(*group).orderBy(f"{p}block").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"),
+        *[F.col(k).alias(f"{p}k_{k}") for k in keys],
+        F.coalesce(F.sum(f"{p}n").over(before), F.lit(0)).alias(f"{p}first"),
     )
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     same = F.lit(True)
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        same = same & F.col(k).eqNullSafe(F.col(f"{p}k_{k}"))
     return (
-        df.withColumn("_inside", inside)
+        df.withColumn(f"{p}inside", inside)
         .join(first, same, "left")
-        .withColumn(out, F.col("_first") + F.col("_inside"))
-        .drop("_block", "_inside", "_first", *[f"_k_{k}" for k in keys])
+        .withColumn(out, F.col(f"{p}first") + F.col(f"{p}inside"))
+        .drop(*[f"{p}{x}" for x in ("block", "inside", "first")], *[f"{p}k_{k}" for k in keys])
     )

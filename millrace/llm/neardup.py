@@ -3,34 +3,40 @@
 A text is the weighted set of its 5-word shingles, weighted by TF-IDF. Samples
 of improved consistent weighted sampling are equal between two texts with the
 probability of their weighted Jaccard similarity. Samples are banded, texts that
-share a band are compared, and links of at least ``threshold`` make classes.
-Both rules of a link have samples: a text is sampled with its weights and with
-equal weights, whose samples are equal with the probability of the plain Jaccard
-similarity. Either may make two texts candidates.
-
-Weights. A shingle weighs ``tf * (1 + DAMPING * idf)``, where ``idf`` falls from
-1 for shingles in at most ``COMMON`` of all documents to 0 for those in all.
-Document frequencies above ``COMMON`` are exact, over all documents. The damping
-is there because a large group of copies makes its own shingles common: with
+share a band are compared, and a pair whose weighted Jaccard similarity reaches
+``threshold`` is linked; links make classes.
+
+Weights. A shingle weighs ``tf * (1 + DAMPING * idf)`` with
+``idf = log(N / df) / log(N)``, from 1 for a shingle of one document to 0 for one
+of all, in ``LEVELS`` steps. Document frequencies of all shingles come from one
+pass over all documents into a table of ``CELLS`` counters (a shingle's hash
+picks its counter; the median counter is taken off as what other shingles add),
+so that what is sent and broadcast has one size for any corpus. The damping is
+there because a large group of copies makes its own shingles common: with the
 full idf, the few words in which its members differ would outweigh all they
-share. A pair is linked if its weighted Jaccard similarity reaches the
-threshold, or the plain Jaccard similarity of its shingle sets does.
+share.
 
 Sampling. The random variables of a shingle come from a pool, picked by the
-shingle's hash, so that all its samples cost one look-up. Both sets of samples
-use the same variables, so that a text of usual weights is sampled once.
+shingle's hash, so that all its samples cost one look-up.
 
 Comparing. Texts equal in full are one node (by MD5). In every band group,
 members are compared with a leader, the member with most company over all
 bands. Only where candidates that hang together then still hold several classes,
-members of different classes are held against each other, by two signatures of
-125 bytes (weighted and plain) in blocks, and those that look similar by either
-are compared in full. No group is
-collected into one task, and no group is expanded into all its pairs.
-
-Defined results: texts without words (null, empty) are alone in their class;
-texts of fewer than 5 words are one shingle; repeated rows share a class; a
-class is named by its smallest document id; an empty table gives no rows.
+members of different classes are held against each other: by signatures of 125
+bytes in blocks, where each block holds parts of one class or small classes
+whole, and blocks of one class never meet. Members that look similar to one of
+another class then meet with their texts. No group is collected into one task,
+and no group is expanded into all its pairs.
+
+Defined results: texts without words (null, empty) are alone in their class,
+which bears their id; texts of fewer than 5 words are one shingle; repeated rows
+share a class; texts of any length are whole; columns besides id and text are
+not looked at. A class is named by its smallest id. Where ids are null or belong
+to several texts, so that this names no class or more than one, ``class_id`` of
+the class with the smaller ``class_key`` stands and the others' is a negative
+number made from their key; ``class_key`` (MD5 of one of its texts) always tells
+classes apart. Whole numbers as ids give ``class_id`` as long, all others as
+string. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,23 +46,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm._shared import release, settle, staged, table
+from millrace.llm._shared import discard, free_prefix, release, settle, stage, table
+from millrace.llm._worker import begin, held
 from millrace.llm.components import components, contracted
 from millrace.llm.substrings import rolling
 from millrace.llm.words import U, scramble, utf8, words_in
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
-COMMON, DAMPING = 0.01, 0.25
+DAMPING, LEVELS = 0.25, 8
+#: Counters of document frequencies, and how many travel as one row.
+CELLS, CELL_BLOCK = 1 << 22, 1 << 16
 #: Random variables in the pool of each sample.
-POOL = 1 << 15
+POOL = 1 << 13
 #: Estimated similarity from which a pair of signatures is compared in full (five deviations below the threshold).
 LOOKS_SIMILAR = 0.62
-#: Signatures in a block; candidates for common shingles that may be broadcast (16 bytes each).
-BLOCK, BROADCAST_SHINGLES = 1024, 2_000_000
+#: Signatures and bytes of text in a block; members that one copy of a leader's text serves.
+BLOCK, BLOCK_BYTES, SERVED = 1024, 8_000_000, 2048
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -67,22 +77,26 @@ def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return np.unique(rolling(h, min(size, len(h)), 0), return_counts=True)
 
 
+def cells_of(hashes: np.ndarray) -> np.ndarray:
+    return (scramble(hashes) >> U(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
 class Weights:
-    """TF-IDF weights, given the document frequencies of common shingles."""
+    """TF-IDF weights, given the counters of document frequencies."""
 
-    def __init__(self, documents: int, hashes: np.ndarray, frequencies: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        idf = np.log(documents / frequencies[order]) / math.log(1 / COMMON) if documents else frequencies
-        self.idf = np.clip(idf, 0.0, 1.0)
+    def __init__(self, documents: int, counters: np.ndarray):
+        others = int(np.partition(counters, len(counters) // 2)[len(counters) // 2])
+        frequency = np.clip(counters.astype(np.int64) - others, 1, max(1, documents))
+        idf = np.log(documents / frequency) / math.log(documents) if documents > 1 else np.ones(len(counters))
+        self.level = np.rint(np.clip(idf, 0.0, 1.0) * (LEVELS - 1)).astype(np.uint8)
 
     def __call__(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        idf = np.ones(len(hashes))
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            known = self.hashes[at] == hashes
-            idf[known] = self.idf[at[known]]
-        return counts * (1.0 + DAMPING * idf)
+        return counts * weight_of(self.level[cells_of(hashes)])
+
+
+def weight_of(level: np.ndarray) -> np.ndarray:
+    """The weight of a shingle that occurs once."""
+    return 1.0 + DAMPING * level / (LEVELS - 1)
 
 
 class Sampler:
@@ -100,8 +114,10 @@ class Sampler:
         self.log_c = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32)
         self.beta = rng.random(shape, dtype=np.float32)
         self.salt = np.arange(samples, dtype=np.uint64)
-        self.usual = 1.0 + DAMPING
-        self.usual_a = self._rows(np.arange(POOL), np.full(POOL, self.usual))
+        self.usual = weight_of(np.arange(LEVELS))
+        every = np.arange(POOL)
+        #: What is minimised for a shingle that occurs once: a row per level and place.
+        self.once = np.concatenate([self._rows(every, np.full(POOL, w)) for w in self.usual])
 
     def _rows(self, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The logarithms of what is minimised, a row per shingle."""
@@ -111,34 +127,22 @@ class Sampler:
 
     def __call__(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One 64-bit sample per sampling of a weighted set with ascending hashes."""
-        return self.both(hashes, weights)[0]
-
-    def both(self, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The samples of a weighted set, and those of the same set with equal weights."""
         samples = len(self.salt)
-        best, chosen = np.full((2, samples), np.inf, np.float32), np.zeros((2, samples), np.int64)
+        best, chosen = np.full(samples, np.inf, np.float32), np.zeros(samples, np.int64)
         places = (scramble(hashes) % U(POOL)).astype(np.int64)
+        level = np.clip(np.rint((weights - 1.0) / DAMPING * (LEVELS - 1)), 0, LEVELS - 1).astype(np.int64)
+        other = self.usual[level] != weights
         for i in range(0, len(hashes), 1 << 13):
-            p, w = places[i : i + (1 << 13)], weights[i : i + (1 << 13)]
-            a = self.usual_a[p]
-            found = _least(a)
-            other = np.flatnonzero(w != self.usual)
-            for side in (1, 0):
-                if side == 0 and len(other):
-                    a[other] = self._rows(p[other], w[other])
-                    found = _least(a)
-                least, first = found
-                better = least < best[side]
-                best[side, better], chosen[side, better] = least[better], first[better] + i
-        plain = self._samples(hashes, places, chosen[1], np.full(samples, self.usual))
-        if (weights == self.usual).all():
-            return plain, plain
-        return self._samples(hashes, places, chosen[0], weights[chosen[0]]), plain
-
-    def _samples(self, hashes: np.ndarray, places: np.ndarray, chosen: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The 64-bit samples of the shingles chosen, with their weights."""
-        at = places[chosen], np.arange(len(chosen))
-        t = np.floor(np.log(weights).astype(np.float32) / self.r[at] + self.beta[at]).astype(np.int64)
+            part = slice(i, i + (1 << 13))
+            a = self.once[level[part] * POOL + places[part]]
+            if other[part].any():
+                at = np.flatnonzero(other[part])
+                a[at] = self._rows(places[part][at], weights[part][at])
+            least, first = _least(a)
+            better = least < best
+            best[better], chosen[better] = least[better], first[better] + i
+        at = places[chosen], np.arange(samples)
+        t = np.floor(np.log(weights[chosen]).astype(np.float32) / self.r[at] + self.beta[at]).astype(np.int64)
         return scramble(hashes[chosen] ^ scramble(t.view(np.uint64) * U(0x9E3779B97F4A7C15) + self.salt))
 
 
@@ -160,89 +164,81 @@ def bands_of(samples: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-_kept: dict[str, object] = {}
-
-
 def _sampler() -> Sampler:
-    if "sampler" not in _kept:
-        _kept["sampler"] = Sampler(BANDS * ROWS)
-    return _kept["sampler"]
+    return held("sampler", lambda: Sampler(BANDS * ROWS))
 
 
-def similarity(a: tuple, b: tuple, weights: Weights) -> tuple[float, float]:
-    """Weighted and plain Jaccard similarity of two shingle sets."""
+def similarity(a: tuple, b: tuple, weights: Weights) -> float:
+    """Weighted Jaccard similarity of two shingle sets."""
     (h, n), (g, m) = a, b
     _, i, j = np.intersect1d(h, g, assume_unique=True, return_indices=True)
     x, y = weights(h, n), weights(g, m)
     both = float(np.minimum(x[i], y[j]).sum())
-    return both / max(1e-300, float(x.sum() + y.sum()) - both), len(i) / max(1, len(h) + len(g) - len(i))
+    return both / max(1e-300, float(x.sum() + y.sum()) - both)
 
 
-def common_shingles(texts: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in more than ``COMMON`` of all documents, with exact document frequencies.
+def count_documents(texts: DataFrame) -> Weights:
+    """Weights from the document frequencies of all shingles in all ``texts`` (one column).
 
-    A shingle that common is at least as common in some block of documents, so
-    blocks propose what is common in them; what could still reach the bound is
-    counted exactly over all documents. At most 1/COMMON times the shingles of
-    an average document are that common.
+    A task sends its counters in blocks, small numbers in one byte each and
+    compressed; blocks are added up in two steps, so that no task receives more
+    than the square root of their number.
     """
-    least = COMMON * documents
+    spark = texts.sparkSession
+    salts = max(1, math.isqrt(texts.rdd.getNumPartitions()))
+    schema = "block int, salt int, documents long, body binary"
 
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs, size = [], 0, 0
+    def rows(counters: np.ndarray, documents: int, salt: int) -> Iterator[pa.RecordBatch]:
+        for k in range(0, CELLS, CELL_BLOCK):
+            part = counters[k : k + CELL_BLOCK]
+            if k == 0 or part.any():
+                made = [pa.array([k // CELL_BLOCK], pa.int32()), pa.array([salt], pa.int32()), pa.array([documents if k == 0 else 0]), pa.array([_packed(part)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, names=["block", "salt", "documents", "body"])
 
-        def out() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            bar = max(1, math.ceil(COMMON * docs - 1e-9))
-            few = n >= bar
-            # Beside what it proposes, a block tells how much any other shingle may have here.
-            rest = pa.array([*h[few].view(np.int64).tolist(), None], pa.int64())
-            return pa.RecordBatch.from_arrays([rest, pa.array([*n[few].tolist(), bar - 1], pa.int64())], names=["h", "n"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        begin("near-duplicates")
+        counters, documents = np.zeros(CELLS, dtype=np.int64), 0
         for batch in batches:
+            documents += batch.num_rows
             for body in batch.column(0):
-                h, _ = shingles(body.as_py())
-                held.append(h)
-                docs += 1
-                size += len(h)
-                if size >= 4_000_000 and docs >= 400 or size >= 16_000_000:
-                    yield out()
-                    held, docs, size = [], 0, 0
-        yield out()
-
-    proposed = settle(texts.mapInArrow(propose, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    slack = (proposed.filter("h IS NULL").head() or (None, 0))[1]
-    able = proposed.filter(F.col("h").isNotNull() & (F.col("n") + F.lit(slack) > least))
-    n_able = able.count()
-    if not n_able:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    wanted = None
-    if n_able <= BROADCAST_SHINGLES:
-        wanted = texts.sparkSession.sparkContext.broadcast(np.sort(able.select("h").toArrow().column(0).to_numpy().view(np.uint64)))
+                np.add.at(counters, cells_of(shingles(body.as_py())[0]), 1)
+        yield from rows(counters, documents, TaskContext.get().partitionId() % salts)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for block, documents, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                have = sums.setdefault(block, [0, np.zeros(CELL_BLOCK, np.int64)])
+                have[0] += documents
+                have[1] += _unpacked(body.as_py())
+        for block, (documents, part) in sums.items():
+            made = [pa.array([block], pa.int32()), pa.array([0], pa.int32()), pa.array([documents]), pa.array([_packed(part)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["block", "salt", "documents", "body"])
 
-        def out() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+    counted = texts.mapInArrow(count, schema)
+    if salts > 1:
+        counted = counted.repartition("block", "salt").mapInArrow(add, schema)
+    total = counted.repartition("block").mapInArrow(add, schema)
+    counters, documents = np.zeros(CELLS, dtype=np.int64), 0
+    for r in total.collect():  # CELLS numbers, whatever the corpus
+        counters[r["block"] * CELL_BLOCK :][:CELL_BLOCK] = _unpacked(bytes(r["body"]))
+        documents += r["documents"]
+    return Weights(documents, counters)
 
-        for batch in batches:
-            for body in batch.column(0):
-                h, _ = shingles(body.as_py())
-                if wanted is not None:
-                    at = np.minimum(np.searchsorted(wanted.value, h), len(wanted.value) - 1)
-                    h = h[wanted.value[at] == h]
-                held.append(h)
-                size += len(h)
-                if size >= 4_000_000:
-                    yield out()
-                    held, size = [], 0
-        yield out()
-
-    exact = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > least)
-    rows = exact.orderBy("h").collect()
-    return np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=np.float64)
+
+def _packed(counters: np.ndarray) -> bytes:
+    import zstandard
+
+    kind = next(k for k in ("<u1", "<u4", "<i8") if counters.max(initial=0) <= np.iinfo(k).max)
+    return kind.encode() + zstandard.ZstdCompressor(level=1).compress(counters.astype(kind).tobytes())
+
+
+def _unpacked(body: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body[3:]), dtype=body[:3].decode()).astype(np.int64)
 
 
 def text_key(text: str):
@@ -250,134 +246,204 @@ def text_key(text: str):
 
 
 def sign(docs: DataFrame, doc_id: str, text: str, weights) -> DataFrame:
-    """``doc, key, bands, signature`` of every document; no bands where there are no words.
-
-    Bands are those of the weighted and of the plain samples, each once, and a
-    signature is the weighted one followed by the plain one.
-    """
-    from pyspark.sql import types as T
-
-    rows = docs.select(F.col(doc_id).alias("doc"), text_key(text).alias("key"), F.col(text).alias("_text"))
-    schema = T.StructType([rows.schema.fields[0], T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())])
+    """``doc, key, size, bands, signature`` of every document; no bands where there are no words."""
+    rows = docs.select(F.col(doc_id).alias("doc"), text_key(text).alias("key"), F.octet_length(text).cast("long").alias("size"), F.col(text).alias("_text"))
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near-duplicates")
         sampler, weigh = _sampler(), weights.value
         for batch in batches:
             bands, signatures = [], []
-            for body in batch.column(2):
+            for body in batch.column(3):
                 h, n = shingles(body.as_py())
                 if len(h):
-                    weighted, plain = sampler.both(h, weigh(h, n))
-                    own = bands_of(plain)
-                    bands.append(own if weighted is plain else np.unique(np.concatenate((bands_of(weighted), own))))
-                    signatures.append((np.concatenate((weighted, plain)) >> U(17)).astype(np.uint8).tobytes())
+                    samples = sampler(h, weigh(h, n))
+                    bands.append(bands_of(samples))
+                    signatures.append((samples >> U(17)).astype(np.uint8).tobytes())
                 else:
                     bands.append(np.zeros(0, np.int64))
                     signatures.append(b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names=[f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names=[f.name for f in schema.fields])
 
     return rows.mapInArrow(run, schema)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
-    """``u, v`` of the pairs whose texts are similar enough."""
-    a = texts.select(F.col("key").alias("_ka"), F.col("text").alias("ta"))
-    b = texts.select(F.col("key").alias("_kb"), F.col("text").alias("tb"))
-    met = pairs.join(b, F.col("v") == F.col("_kb")).drop("_kb").join(a, F.col("u") == F.col("_ka")).select("u", "v", "ta", "tb")
+    """``u, v`` of the pairs (member, leader) whose texts are similar enough.
+
+    A leader's text travels once for ``SERVED`` members, not once for each.
+    """
+    leaders = settle(pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / SERVED).cast("int").alias("parts")))
+    held_texts = texts.select(F.col("key").alias("_k"), "text")
+    dealt = pairs.join(leaders.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v")).select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"))
+    members = dealt.join(held_texts, F.col("u") == F.col("_k")).select("v", "part", "u", "text")
+    lead = leaders.join(held_texts, F.col("v") == F.col("_k")).select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("u"), "text")
+    met = lead.unionByName(members).repartition("v", "part").sortWithinPartitions("v", "part", F.col("u").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh = weights.value
+        begin("near-duplicates")
+        weigh, leader = weights.value, None
         for batch in batches:
-            keep, last, held = [], None, None
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                if (other := y.as_py()) != last:
-                    last, held = other, shingles(other)
-                keep.append(max(similarity(shingles(x.as_py()), held, weigh)) >= threshold - 1e-12)
+            keep = []
+            for u, body in zip(batch.column(2), batch.column(3), strict=True):
+                if not u.is_valid:
+                    leader = shingles(body.as_py())
+                    keep.append(False)
+                else:
+                    keep.append(similarity(shingles(body.as_py()), leader, weigh) >= threshold - 1e-12)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return met.mapInArrow(run, "u binary, v binary")
 
 
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Deals the members (key, group, root, size, ...) of open groups into blocks: adds ``own``, ``skip`` and ``past``.
+
+    A class over a block's load has blocks of its own, ``skip`` to ``past - 1``;
+    the others share blocks by their root, and skip none.
+    """
+    load = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int")
+    classes = settle(members.groupBy("group", "root").agg(load.alias("parts"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")))
+    shared = classes.filter("parts = 1").groupBy("group").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("shared"))
+    counted = classes.join(shared.withColumnRenamed("group", "_g"), F.col("group") == F.col("_g"), "left").drop("_g").fillna(0, ["shared"])
+    # A row per large class, of which there is at most one in BLOCK members of a group.
+    large = counted.filter("parts > 1")
+    large = large.withColumn("skip", (F.col("shared") + F.sum("parts").over(Window.partitionBy("group").orderBy("root")) - F.col("parts")).cast("int"))
+    large = large.select("group", "root", "parts", "skip", (F.col("skip") + F.col("parts")).alias("past"))
+    small = counted.filter("parts = 1").select("group", "root", F.col("shared").alias("parts"), F.lit(0).alias("skip"), F.lit(0).alias("past"))
+    blocks = shared.select("group", F.col("shared").alias("blocks")).unionByName(large.select("group", F.col("parts").alias("blocks"))).groupBy("group").agg(F.sum("blocks").cast("int").alias("blocks"))
+    each = large.unionByName(small).join(blocks.withColumnRenamed("group", "_g"), F.col("group") == F.col("_g")).select(F.col("root").alias("_root"), "parts", "skip", "past", "blocks")
+    by = F.when(F.col("past") > 0, F.xxhash64("key")).otherwise(F.xxhash64("root"))
+    return members.join(settle(each), F.col("root") == F.col("_root")).withColumn("own", (F.col("skip") + F.pmod(by, F.col("parts"))).cast("int")).drop("_root", "parts")
+
+
+def _meeting(rows: DataFrame, kept: tuple[str, ...]) -> DataFrame:
+    """Every row beside the blocks that its own one meets: ``group, i, j, side`` and ``kept``, in that order."""
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: (b < F.col("skip")) | (b >= F.col("past")))
+    met = rows.select("group", "own", F.explode(others).alias("_b"), *kept)
+    met = met.select("group", F.least("own", "_b").alias("i"), F.greatest("own", "_b").alias("j"), F.when(F.col("own") <= F.col("_b"), 0).otherwise(1).alias("side"), *kept)
+    return met.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side", "key")
+
+
 def _unresolved(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
     """Links ``u, v`` between classes whose members share bands, directly or through others.
 
-    Classes that pairs connect form groups, all members of which are dealt in blocks, and every
-    two blocks meet in one task. There, members of different classes whose
-    signatures look similar are compared in full, the likeliest first; a link
-    joins two classes for the rest of the task, so that a task gives fewer links
-    than it has members.
+    Classes that pairs connect form groups, all members of which are dealt in
+    blocks. Every two blocks that may hold different classes meet in one task,
+    with signatures alone; members that look similar to one of another class
+    meet there again with their texts, and are compared in full, the likeliest
+    first. A link joins two classes for the rest of the task, so that a task gives fewer links than
+    it has members.
     """
-    groups = components(contracted(pairs, roots)).select(F.col("node").alias("_n"), F.col("root").alias("group"))
+    groups = settle(components(contracted(pairs, roots)).select(F.col("node").alias("_n"), F.col("root").alias("group")))
+    if not groups.limit(1).count():
+        return groups.select(F.col("_n").alias("u"), F.col("group").alias("v"))
     linked = roots.join(groups, F.col("root") == F.col("_n")).select(F.col("node").alias("key"), "group", "root")
     alone = groups.join(roots, F.col("_n") == F.col("node"), "left_anti").select(F.col("_n").alias("key"), "group", F.col("_n").alias("root"))
-    members = settle(linked.unionByName(alone))
-    open_groups = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    rows = members.join(open_groups.select(F.col("group").alias("_g"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), F.col("group") == F.col("_g")).drop("_g")
-    rows = rows.join(nodes.select(F.col("key").alias("_k"), "signature"), F.col("key") == F.col("_k")).drop("_k")
-    rows = rows.join(texts.select(F.col("key").alias("_k"), "text"), F.col("key") == F.col("_k")).drop("_k")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    kept = ("key", "root", "signature", "text")
-    left = rows.select("group", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), *kept)
-    right = rows.filter("own > 0").select("group", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), *kept)
-    met = left.unionByName(right).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side", "key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for group, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (group, i, j) != now:
-                    yield _join_classes(held, weights.value, threshold, now)
-                    now, held = (group, i, j), []
-                held.append(row)
-        yield _join_classes(held, weights.value, threshold, now)
-
-    return met.mapInArrow(run, "u binary, v binary")
-
-
-def _join_classes(rows: list[list], weigh: Weights, threshold: float, block: tuple | None) -> pa.RecordBatch:
+    members = linked.unionByName(alone).join(nodes.select(F.col("key").alias("_k"), "size", "signature"), F.col("key") == F.col("_k")).drop("_k")
+    rows = settle(_in_blocks(settle(members)))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, held_rows in _by_place(batches):
+            likely = _likely(held_rows, place)
+            n = len(likely)
+            made = [pa.array([place[0]] * n, pa.binary()), pa.array([place[1]] * n, pa.int32()), pa.array([place[2]] * n, pa.int32()), pa.array([held_rows[k][0] for k in likely], pa.int32())]
+            made += [pa.array([held_rows[k][c] for k in likely], pa.binary()) for c in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays(made, names=["group", "i", "j", "side", "key", "root", "signature"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near-duplicates")
+        for place, held_rows in _by_place(batches):
+            yield _join_classes(held_rows, weights.value, threshold, place)
+
+    found = settle(_meeting(rows, ("key", "root", "signature")).mapInArrow(look, "group binary, i int, j int, side int, key binary, root binary, signature binary"))
+    again = found.join(texts.select(F.col("key").alias("_k"), "text"), F.col("key") == F.col("_k")).drop("_k")
+    again = again.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side", "key")
+    return again.mapInArrow(compare, "u binary, v binary")
+
+
+def _by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[list]]]:
+    """Rows (side, key, class, signature, ...) of two blocks at a time, with the place (group, i, j)."""
+    now, rows = None, []
+    for batch in batches:
+        for group, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (group, i, j) != now:
+                if rows:
+                    yield now, rows
+                now, rows = (group, i, j), []
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
+def _pairs_of(rows: list[list], place: tuple) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, rows of another class that look similar to it, how similar), each pair once."""
+    signatures = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+    names = {c: k for k, c in enumerate(dict.fromkeys(r[2] for r in rows))}
+    classes = np.array([names[r[2]] for r in rows])
+    left = sum(r[0] == 0 for r in rows)
+    alone = place[1] == place[2]
+    for i in range(left if len(names) > 1 else 0):
+        first = i + 1 if alone else left
+        like = ((signatures[i] == signatures[first:]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+        near = np.flatnonzero((like >= LOOKS_SIMILAR) & (classes[first:] != classes[i]))
+        if len(near):
+            yield i, first + near, like[near]
+
+
+def _likely(rows: list[list], place: tuple) -> list[int]:
+    """The rows that look similar to one of another class."""
+    found = np.zeros(len(rows), dtype=bool)
+    for i, near, _ in _pairs_of(rows, place):
+        found[i] = found[near] = True
+    return np.flatnonzero(found).tolist()
+
+
+def _join_classes(rows: list[list], weigh: Weights, threshold: float, place: tuple) -> pa.RecordBatch:
     """Links that join classes among the members (side, key, class, signature, text) of two blocks."""
-    u, v = [], []
-    if rows and len({r[2] for r in rows}) > 1:
-        parent = {r[2]: r[2] for r in rows}
-
-        def find(x: bytes) -> bytes:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        sets: dict[int, tuple] = {}
-
-        def shingled(k: int) -> tuple:
-            if k not in sets:
-                sets[k] = shingles(rows[k][4])
-            return sets[k]
-
-        signatures = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), 2, -1)
-        left = sum(r[0] == 0 for r in rows)
-        alone = block[1] == block[2]
-        for i in range(left):
-            first = i + 1 if alone else left
-            like = ((signatures[i] == signatures[first:]).mean(axis=2).max(axis=1, initial=0.0) - 1 / 256) / (1 - 1 / 256)
-            near = np.flatnonzero(like >= LOOKS_SIMILAR)
-            for j in (first + near[np.argsort(-like[near], kind="stable")]).tolist():
-                a, b = find(rows[i][2]), find(rows[j][2])
-                if a != b and max(similarity(shingled(i), shingled(j), weigh)) >= threshold - 1e-12:
-                    parent[max(a, b)] = min(a, b)
-                    u.append(max(rows[i][1], rows[j][1]))
-                    v.append(min(rows[i][1], rows[j][1]))
+    u, v, sets = [], [], {}
+    parent = {r[2]: r[2] for r in rows}
+
+    def find(x: bytes) -> bytes:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def shingled(k: int) -> tuple:
+        if k not in sets:
+            sets[k] = shingles(rows[k][4])
+        return sets[k]
+
+    for i, near, like in _pairs_of(rows, place):
+        for j in near[np.argsort(-like, kind="stable")].tolist():
+            a, b = find(rows[i][2]), find(rows[j][2])
+            if a != b and similarity(shingled(i), shingled(j), weigh) >= threshold - 1e-12:
+                parent[max(a, b)] = min(a, b)
+                u.append(max(rows[i][1], rows[j][1]))
+                v.append(min(rows[i][1], rows[j][1]))
     return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
 
+def _named(placed: DataFrame) -> DataFrame:
+    """``root, class_id`` of classes, from their members (key, doc, root); see the module's text."""
+    whole = isinstance(placed.schema["doc"].dataType, T.IntegralType)
+    least = placed.groupBy("root").agg(F.min("doc").cast("long" if whole else "string").alias("least"))
+    # Ids come once in most tables, and then every class has a name of its own.
+    taken = least.groupBy("least").agg(F.min("root").alias("owner")).withColumnRenamed("least", "_l")
+    other = -F.pmod(F.xxhash64("root"), F.lit(2**62)) - 1 if whole else F.concat(F.lit("class "), F.hex("root"))
+    own = (F.col("root") == F.col("owner")) & F.col("least").isNotNull()
+    return least.join(taken, F.col("least").eqNullSafe(F.col("_l"))).select(F.col("root").alias("_r"), F.when(own, F.col("least")).otherwise(other).alias("class_id"))
+
+
 def find_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``doc, key, class_id``: a row for each row of ``docs``; ``key`` is the MD5 of its text."""
+    """``doc, key, class_id, class_key``: a row for each row of ``docs``; ``key`` is the MD5 of its text."""
     spark = docs.sparkSession
-    bodies = docs.select(F.col(text).alias("_text"))
-    documents = docs.count()
-    hashes, frequencies = common_shingles(bodies, documents)
-    weights = spark.sparkContext.broadcast(Weights(documents, hashes, frequencies))
+    weights = spark.sparkContext.broadcast(count_documents(docs.select(F.col(text).alias("_text"))))
     signed = settle(sign(docs, doc_id, text, weights))
-    nodes = settle(signed.filter(F.size("bands") > 0).groupBy("key").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
+    worded = signed.filter(F.size("bands") > 0)
+    nodes = settle(worded.groupBy("key").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("size", "bands", "signature")]))
 
     rows = nodes.select("key", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -386,45 +452,54 @@ def find_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     ranked = rows.join(company, F.col("key") == F.col("_k")).drop("_k", "size")
     leads = ranked.groupBy("band").agg(F.max(F.struct("company", "key"))["key"].alias("lead")).withColumnRenamed("band", "_b")
     bands = settle(rows.drop("size").join(leads, F.col("band") == F.col("_b")).drop("_b"))
-    pairs = settle(bands.filter("key <> lead").select(F.greatest("key", "lead").alias("u"), F.least("key", "lead").alias("v")).distinct())
+    pairs = settle(bands.filter("key <> lead").select(F.col("key").alias("u"), F.col("lead").alias("v")).distinct())
 
     wanted = bands.select("key").distinct().join(nodes.select(F.col("key").alias("_k"), "doc"), F.col("key") == F.col("_k")).drop("_k").withColumnRenamed("key", "_key")
     here = docs.select(F.col(doc_id).alias("_doc"), text_key(text).alias("key"), F.col(text).alias("text"))
     texts = here.join(wanted, (F.col("key") == F.col("_key")) & F.col("_doc").eqNullSafe(F.col("doc"))).select("key", "text")
-    if signed.groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+    if worded.groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
         texts = texts.groupBy("key").agg(F.first("text").alias("text"))
-    texts = staged(texts)
+    texts, path = stage(texts)
 
     links = settle(_verify(pairs, texts, weights, threshold))
     roots = settle(components(links))
     release(spark)
     found = settle(_unresolved(pairs, roots, nodes, texts, weights, threshold))
+    discard(spark, path)
     release(spark)
-    placed = nodes.select("key", "doc").join(roots, F.col("key") == F.col("node"), "left").select("key", "doc", F.coalesce("root", "key").alias("root"))
+    placed = nodes.select("key").join(roots, F.col("key") == F.col("node"), "left").select("key", F.coalesce("root", "key").alias("root"))
     if found.limit(1).count():
         joined = settle(components(contracted(found, roots))).select(F.col("node").alias("_n"), F.col("root").alias("_joined"))
-        placed = placed.join(joined, F.col("root") == F.col("_n"), "left").select("key", "doc", F.coalesce("_joined", "root").alias("root"))
-    named = placed.groupBy("root").agg(F.min("doc").alias("class_id")).withColumnRenamed("root", "_r")
-    classes = settle(placed.join(named, F.col("root") == F.col("_r")).select(F.col("key").alias("_k"), "class_id"))
-    return signed.select("doc", "key").join(classes, F.col("key") == F.col("_k"), "left").select("doc", "key", F.coalesce("class_id", "doc").alias("class_id"))
+        placed = placed.join(joined, F.col("root") == F.col("_n"), "left").select("key", F.coalesce("_joined", "root").alias("root"))
+    # A document without words is a class of its own, told apart by its id.
+    wordless = F.unhex(F.md5(F.encode(F.concat(F.lit("no words "), F.coalesce(F.col("doc").cast("string"), F.lit("null")), F.hex("key")), "UTF-8")))
+    rooted = signed.select("doc", "key", (F.size("bands") > 0).alias("worded")).join(placed.withColumnRenamed("key", "_k"), F.col("worded") & (F.col("key") == F.col("_k")), "left")
+    rooted = settle(rooted.select("doc", "key", F.coalesce("root", wordless).alias("root")))
+    named = _named(rooted)
+    return rooted.join(named, F.col("root") == F.col("_r")).select("doc", "key", "class_id", F.lower(F.hex("root")).alias("class_key"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, the one with the smallest id, with all its columns.
+    """One document of each class with words, with all its columns, whatever their names.
 
-    Of rows that repeat it in full, one stays; documents without words all stay.
+    It is the one with the smallest id and, among texts of that id, the smallest
+    MD5; a null id comes last. Of rows that repeat it in full one stays; rows
+    without words all stay.
     """
+    p = free_prefix(docs.columns)
     found = settle(find_classes(docs, doc_id, text))
-    stay = found.filter(F.col("doc").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc").alias("_stay_doc"), F.col("key").alias("_stay_key")).agg(F.count(F.lit(1)).alias("_stay_n"))
-    repeated = stay.filter("_stay_n > 1").limit(1).count()
-    here = docs.withColumn("_key", text_key(text))
-    kept = here.join(stay, F.col(doc_id).eqNullSafe(F.col("_stay_doc")) & (F.col("_key") == F.col("_stay_key")), "left_semi")
-    if repeated:
-        wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-        kept = kept.filter(wordless).unionByName(kept.filter(~wordless).dropDuplicates([doc_id, "_key"]))
+    # Sorted by (is the id null, id, key), the least of a class stays.
+    order = F.struct(F.col("doc").isNull().alias("a"), F.col("doc").alias("b"), F.col("key").alias("c"))
+    stay = found.groupBy("class_key").agg(F.min(order).alias("s"), F.count(F.lit(1)).alias("n"))
+    stay = settle(stay.select(F.col("s.b").alias(f"{p}doc"), F.col("s.c").alias(f"{p}key")))
+    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    here = docs.withColumn(f"{p}here", text_key(text))
+    kept = here.join(stay, F.col(doc_id).eqNullSafe(F.col(f"{p}doc")) & (F.col(f"{p}here") == F.col(f"{p}key")), "left_semi")
+    if found.groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        kept = here.filter(wordless).unionByName(kept.filter(~wordless).dropDuplicates([doc_id, f"{p}here"]))
     return kept.select(*docs.columns)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_classes(table(spark, sf_dir, "documents"))
-    return found.select(F.col("doc").alias("doc_id"), "class_id")
+    return found.select(F.col("doc").alias("doc_id"), "class_id", "class_key")

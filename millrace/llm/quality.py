@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import WORD_GAP, settle, table
+from millrace.llm._shared import WORD_GAP, settle, staged, table
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
 
@@ -177,17 +177,15 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0
     return voted.withColumn("quality", quality).withColumn("kept", ~base_failed() & (F.col("quality") >= least))
 
 
-def filter_quality(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents that are kept, with all their columns.
+def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that are kept, with all their columns, whatever their names.
 
-    Measures are computed once over whole texts and settled without the texts;
-    the verdicts then meet the documents by id and text hash.
+    Rows are written once with their measures; votes are counted and judged on
+    what was written, so that no row has to find its verdict again.
     """
-    key = [F.col(doc_id).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash")]
-    judged = judge(settle(measure(docs.select(*key, F.col(text).alias("_text")), "_text").drop("_text")))
-    kept = judged.filter("kept").select("_id", "_hash").distinct()
-    here = docs.withColumn("_here", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return here.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_here") == F.col("_hash")), "left_semi").select(*docs.columns)
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    measured = staged(measure(docs.toDF(*places), places[docs.columns.index(text)]))
+    return judge(measured).filter("kept").select(*places).toDF(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,11 +37,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm._shared import settle, table
+from millrace.llm._worker import begin
 from millrace.llm.words import U, scramble, utf8, words_in
 
 WIDTH, RUN = 20, 4
 #: Windows that a bucket should hold, and words of a task that are settled together.
 LOAD, TOGETHER = 250_000, 2_000_000
+#: Words in a row that travels, but for a longer super-k-mer.
+BODY = 400_000
 _GAP = re.compile(r"[\x20\x09-\x0D]+")
 #: White space to Python that doesn't end a word here.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -201,12 +204,22 @@ def _pack(batch: _Batch, bucket_of) -> Iterator[tuple[int, int, bytes]]:
     bucket, doc, start, length = batch.pieces(bucket_of)
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.diff(bucket[order])) + 1
-    for rows in np.split(order, edges) if len(order) else ():
+    for rows in _bounded(np.split(order, edges) if len(order) else (), length, batch.width):
         texts = [batch.slice(d, s, n) for d, s, n in zip(doc[rows].tolist(), start[rows].tolist(), length[rows].tolist(), strict=True)]
         body = _head(batch.doc[doc[rows]], batch.mark[doc[rows]], start[rows], length[rows]) + b"\n".join(texts)
         yield int(bucket[rows[0]]), int(length[rows].sum()), press.compress(body)
 
 
+def _bounded(groups, length: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """The groups of super-k-mers, those of more than ``BODY`` words in parts."""
+    for rows in groups:
+        words = np.cumsum(length[rows] + width - 1)
+        if words[-1] <= BODY:
+            yield rows
+        else:
+            yield from np.split(rows, np.flatnonzero(np.diff(words // BODY)) + 1)
+
+
 def _pack_repeats(batch: _Batch, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """Repeats settled here, as rows that pass through buckets unchanged (no words, 0 windows)."""
     import zstandard
@@ -279,6 +292,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     counted = 1 << max(14, (8 * rows.rdd.getNumPartitions() - 1).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("repeats")
         total = np.zeros(counted, dtype=np.int64)
         for batch in _documents(batches, width, run):
             total += np.bincount((batch.low[batch.first] % U(counted)).astype(np.int64), minlength=counted)
@@ -297,6 +311,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     bucket_of = spark.sparkContext.broadcast(_Buckets(counted, buckets, hot))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("repeats")
         for batch in _documents(batches, width, run):
             for found in (_pack(batch, bucket_of.value), _pack_repeats(batch, buckets)):
                 made: list[tuple] = []
@@ -308,6 +323,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                 yield _rows(made)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("repeats")
         now, bodies = None, []
         for batch in batches:
             for bucket, windows, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):

@@ -2,10 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -297,11 +298,15 @@ def test_op2(spark):
 
 
 def near_classes(docs):
-    """Smallest id of each document's class, by plain Jaccard of all pairs."""
+    """Smallest id of each document's class, by the weighted Jaccard similarity of all pairs, and the number of links."""
     sets = {}
     for d, t in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        sets[d] = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+    frequency = Counter(s for c in sets.values() for s in c)
+    n = len(docs)
+    weight = {s: 1 + 0.25 * round(7 * math.log(n / f) / math.log(n)) / 7 for s, f in frequency.items()} if n > 1 else dict.fromkeys(frequency, 1.25)
+    total = {d: sum(k * weight[s] for s, k in c.items()) for d, c in sets.items()}
     root = {d: d for d in sets}
 
     def find(x):
@@ -311,7 +316,8 @@ def near_classes(docs):
 
     links = 0
     for a, b in itertools.combinations(sorted(sets), 2):
-        if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+        both = sum(min(k, sets[b][s]) * weight[s] for s, k in sets[a].items() if s in sets[b])
+        if both and both >= 0.8 * (total[a] + total[b] - both):
             links += 1
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
@@ -346,52 +352,74 @@ def test_classes_against_brute_force(spark, prose):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, c in want.items() if d == c)
 
 
-def same_shingles(n, much, few):
-    """Two texts of the same 5-word shingles, of which those of one line occur more often in the first."""
-    body, line = [f"n{n}w{i}" for i in range(500)], [f"n{n}line{i}" for i in range(9)]
-    return [" ".join([*body, *line * k]) for k in (much, few)]
-
-
-def test_texts_of_equal_shingles_in_other_counts_share_a_class(spark):
-    rows = [(2 * n + k, t) for n in range(12) for k, t in enumerate(same_shingles(n, 200, 20))]
-    weigh = neardup.Weights(len(rows), np.zeros(0, np.uint64), np.zeros(0))
-    weighted, plain = neardup.similarity(*(neardup.shingles(t) for _, t in rows[:2]), weigh)
-    assert weighted < 0.4 and plain == 1.0
+def test_counts_of_shingles_matter(spark, prose):
+    """Repeated lines: what occurs more often weighs more, on both sides of the threshold."""
+    rng = random.Random(13)
+    docs = []
+    for _ in range(25):
+        body, line = prose(rng, rng.randint(40, 120)), prose(rng, 12)
+        docs += ["\n".join([body, *[line] * k]) for k in rng.sample((1, 2, 3, 4, 5, 8, 10), 3)]
+        docs.append("\n".join([edited(rng, body, 1), *[line] * 5]))
+    rows = list(enumerate(docs))
     want, links = near_classes(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert links == 12 and {r["doc"]: r["class_id"] for r in neardup.find_classes(df).collect()} == want
-    assert sorted(r["doc_id"] for r in neardup.keep_one(df).collect()) == list(range(0, 24, 2))
-
-
-def test_blocks_compare_what_looks_similar_by_either_signature(spark):
-    weights = spark.sparkContext.broadcast(neardup.Weights(2, np.zeros(0, np.uint64), np.zeros(0)))
-    df = spark.createDataFrame(list(enumerate(same_shingles(0, 200, 20))), "doc_id long, text string")
-    texts = dict(df.collect())
-    rows = [[0, r["key"], r["key"], r["signature"], texts[r["doc"]]] for r in neardup.sign(df, "doc_id", "text", weights).collect()]
-    assert neardup._join_classes(rows, weights.value, neardup.THRESHOLD, (0, 0, 0)).num_rows == 1
-
-
-def test_plain_samples_follow_plain_similarity():
-    rng = np.random.default_rng(7)
-    sampler = neardup.Sampler(2000)
-    h = np.sort(rng.integers(0, 2**63, 90).astype(np.uint64))
-    w, v = rng.choice([1.0, 1.25, 25.0], 75), rng.choice([1.0, 1.25, 25.0], 75)
-    x, y = sampler.both(h[:75], w), sampler.both(h[15:], v)
-    assert abs((x[1] == y[1]).mean() - 60 / 90) < 0.04 and (x[0] == sampler(h[:75], w)).all()
-
-
-def test_recall_of_bands():
-    rng = np.random.default_rng(5)
-    sampler, found, agree = neardup.Sampler(neardup.BANDS * neardup.ROWS), 0, []
-    for _ in range(150):
-        h = np.unique(rng.integers(0, 2**63, 230).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-        a, b = np.sort(rng.choice(h, 200, replace=False)), None
-        b = np.sort(np.concatenate((a[rng.permutation(200)[:179]], np.setdiff1d(h, a)[:21])))
-        x, y = (sampler(s, np.full(len(s), 1.25)) for s in (a, b))
+    got = {r["doc"]: r["class_id"] for r in neardup.find_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert links > 20 and len(set(want.values())) > 40 and got == want
+
+
+@pytest.mark.parametrize(("rows", "size", "served"), [(6, 10**9, 3), (1000, 4000, 2048)])
+def test_blocks_lose_no_link(spark, prose, monkeypatch, rows, size, served):
+    for name, value in (("BLOCK", rows), ("BLOCK_BYTES", size), ("SERVED", served)):
+        monkeypatch.setattr(neardup, name, value)
+    rng, docs = random.Random(14), []
+    for _ in range(3):  # chains, in which neighbours are similar and ends are not
+        t = prose(rng, 120)
+        for _ in range(14):
+            docs.append(t)
+            t = edited(rng, t, 2)
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    want, links = near_classes(docs)
+    got = {r["doc"]: r["class_id"] for r in neardup.find_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert links > 25 and got == want
+
+
+def test_blocks_of_one_class_never_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 10)
+    members = [(b"%3d" % i, b"g", b"big" if i < 95 else b"two" if i < 130 else b"s%d" % (i % 7), 1, b"") for i in range(144)]
+    df = spark.createDataFrame(members, "key binary, `group` binary, root binary, size long, signature binary")
+    rows = neardup._in_blocks(df).cache()
+    met = neardup._meeting(rows, ("key", "root")).collect()
+    by = defaultdict(lambda: (defaultdict(set), set()))
+    for r in met:
+        by[r["i"], r["j"]][0][r["side"]].add(bytes(r["key"]))
+        by[r["i"], r["j"]][1].add(bytes(r["root"]))
+    assert all(len(roots) > 1 for _, roots in by.values()) and max(len(k) for sides, _ in by.values() for k in sides.values()) < 30
+    root = {m[0]: m[2] for m in members}
+    together = set()
+    for (i, j), (sides, _) in by.items():
+        pairs = itertools.combinations(sorted(sides[0]), 2) if i == j else itertools.product(sides[0], sides[1])
+        together |= {tuple(sorted(p)) for p in pairs}
+    assert together >= {p for p in itertools.combinations(sorted(root), 2) if root[p[0]] != root[p[1]]}
+
+
+@pytest.mark.parametrize("similar", [0.8, 0.85, 0.9, 0.95])
+def test_recall_of_bands(similar):
+    """Pairs at a weighted similarity, with shingles of all levels and counts: nearly all share a band."""
+    rng = np.random.default_rng(int(similar * 100))
+    sampler, found, agree, exact, n = neardup.Sampler(neardup.BANDS * neardup.ROWS), 0, [], [], 150
+    for _ in range(n):
+        h = np.unique(rng.integers(0, 2**63, 230).astype(np.uint64))
+        w = neardup.weight_of(rng.integers(0, neardup.LEVELS, len(h))) * rng.choice([1, 1, 1, 2, 5], len(h))
+        order, inside = rng.permutation(len(h)), w.sum()
+        apart = np.cumsum(w[order]) <= (1 - similar) * inside
+        a = np.sort(np.concatenate((order[~apart], order[apart][::2])))
+        b = np.sort(np.concatenate((order[~apart], order[apart][1::2])))
+        x, y = sampler(h[a], w[a]), sampler(h[b], w[b])
         agree.append((x == y).mean())
+        exact.append(w[order[~apart]].sum() / w.sum())
         found += bool((neardup.bands_of(x) == neardup.bands_of(y)).any())
-    j = 179 / 221
-    assert found >= 148 and abs(np.mean(agree) - j) < 0.02
+    assert min(exact) >= similar - 1e-9 and abs(np.mean(agree) - np.mean(exact)) < 0.02
+    assert found >= 0.98 * n
 
 
 def test_samples_follow_weighted_similarity():
@@ -403,20 +431,43 @@ def test_samples_follow_weighted_similarity():
     assert abs(agree - np.minimum(w, v).sum() / np.maximum(w, v).sum()) < 0.04
 
 
-def test_common_shingles_are_counted_exactly(spark, prose, monkeypatch):
+def test_document_frequencies_are_those_of_all_documents(spark, prose):
     rng = random.Random(12)
     line = "this line is in very many of all documents"
     docs = [prose(rng, 20) + (" " + line if i % 3 == 0 else "") for i in range(600)]
-    df = spark.createDataFrame([(t,) for t in docs], "_text string").repartition(5)
-    want = defaultdict(int)
-    for t in docs:
-        for h in neardup.shingles(t)[0].tolist():
-            want[h] += 1
-    want = {h: n for h, n in want.items() if n > 6}
-    for limit in (neardup.BROADCAST_SHINGLES, 0):
-        monkeypatch.setattr(neardup, "BROADCAST_SHINGLES", limit)
-        hashes, n = neardup.common_shingles(df, 600)
-        assert dict(zip(hashes.tolist(), n.astype(int).tolist(), strict=True)) == want and want
+    frequency = Counter(h for t in docs for h in neardup.shingles(t)[0].tolist())
+    hashes = np.array(list(frequency), dtype=np.uint64)
+    want = [1 + 0.25 * round(7 * math.log(600 / f) / math.log(600)) / 7 for f in frequency.values()]
+    for parts in (1, 7):
+        weights = neardup.count_documents(spark.createDataFrame([(t,) for t in docs], "_text string").repartition(parts))
+        got = weights(hashes, np.ones(len(hashes), np.int64))
+        same = np.abs(got - want) < 1e-12
+        assert same.mean() > 0.99 and len(set(want)) > 2
+    assert neardup._unpacked(neardup._packed(np.array([1, 300, 2**40]))).tolist() == [1, 300, 2**40]
+
+
+def test_common_counters_are_taken_off():
+    counters = np.full(neardup.CELLS, 50, np.int64)
+    counters[:3] = (51, 1050, 10**6)
+    level = neardup.Weights(10**6, counters).level
+    assert level[0] == level[5] == 7 and level[1] == round(7 * 0.5) and level[2] == 0
+
+
+def test_shared_and_missing_ids_name_no_two_classes(spark, prose):
+    rng = random.Random(15)
+    a, b, c, d = (prose(rng, 40) for _ in range(4))
+    rows = [(7, a), (7, b), (8, b), (None, c), (None, c), (None, d), (9, a), (None, None), (7, "")]
+    got = neardup.find_classes(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    text = {hashlib.md5(t.encode()).digest(): t for t in (a, b, c, d, "")}
+    by = defaultdict(set)
+    for r in got:
+        by[text[bytes(r["key"])]].add((r["class_id"], r["class_key"]))
+    assert all(len(x) == 1 for t, x in by.items() if t) and len(by[""]) == 2 and len({k for x in by.values() for k, _ in x}) == len({k for x in by.values() for _, k in x}) == 6
+    assert {7} <= {k for k, _ in by[a] | by[b] | by[""]}
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(7, a), (7, b), (None, c), (None, d), (None, None), (7, "")]))
+    named = neardup.find_classes(spark.createDataFrame([("x", a), ("x", b), ("y", b)], "doc_id string, text string"))
+    assert len({r["class_id"] for r in named.collect()}) == 2
 
 
 def test_classes_with_odd_rows(spark, odd, empty):

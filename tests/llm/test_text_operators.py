@@ -105,8 +105,10 @@ def test_decontamination_against_brute_force(spark, odd, prose):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = contamination(docs, items)
-    for limit in (1 << 20, 300, 1):
-        got = decontaminate.find_contamination(df, bench, limit=limit).collect()
+    for limit in (1 << 20, 40, 1):
+        found = decontaminate.find_contamination(df, bench, limit=limit)
+        assert found._jdf.queryExecution().toString().count("+- MapInArrow") <= 4  # one in each of the printed plans
+        got = found.collect()
         assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got), key=repr) == want
     texts = dict(docs)
     for r in got:
@@ -118,6 +120,19 @@ def test_decontamination_against_brute_force(spark, odd, prose):
     assert decontaminate.find_contamination(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("width", [1, 3, 5, 6, 10])
+def test_windows_of_all_widths_against_brute_force(width):
+    """Few different words, so that windows overlap, repeat and nearly match."""
+    rng = random.Random(width)
+    say = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    for _ in range(60):
+        items = [(i, say(rng.randint(0, 25))) for i in range(rng.randint(0, 5))]
+        scanner = decontaminate.Scanner([(str(i), decontaminate._words(t)) for i, t in items], width)
+        text = say(rng.randint(0, 60))
+        hit, found = scanner.scan(decontaminate._words(text))
+        assert (int(hit.sum()), sorted(found)) == contamination([(0, text)], items, width)[0][2:]
+
+
 # --- quality rules
 
 
