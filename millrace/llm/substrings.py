@@ -21,9 +21,9 @@ all but the first occurrence of a window are repeats.
 Documents are placed by (id, hash of text): rows that share an id but not a text
 are ordered by that hash, and fully equal rows count as one document.
 
-Defined results: null texts have no words; a null id comes first; texts shorter
-than a window lose nothing; an empty table gives no rows; texts of any length
-are whole.
+Defined results: null texts have no words; a null id comes first; ids may be of
+any type that has an order; texts shorter than a window lose nothing; an empty
+table gives no rows; texts of any length are whole.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm._shared import settle, table
+from millrace.llm._shared import free_prefix, settle, table
 from millrace.llm._worker import begin
 from millrace.llm.words import U, scramble, utf8, words_in
 
@@ -280,14 +281,19 @@ def _judge(bodies: list[bytes], width: int) -> np.ndarray:
     return np.stack((head[0][piece], head[1][piece], head[2][piece] + at - (ends - head[3])[piece], to - at))
 
 
-def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, run: int = RUN, load: int = LOAD, mark: Column | None = None) -> DataFrame:
+def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, run: int = RUN, load: int = LOAD) -> DataFrame:
     """``doc, mark, runs`` (start and number of repeated windows), one row per document that has any.
 
-    ``mark`` tells rows of one id apart (see :func:`mark_of`).
+    ``doc`` is the id's place (see :func:`with_place`), ``mark`` tells rows of
+    one id apart (see :func:`mark_of`).
     """
-    mark = mark_of(docs, doc_id, text) if mark is None else mark
-    spark = docs.sparkSession
-    rows = docs.select(place_of(doc_id).alias("doc"), mark.alias("mark"), F.col(text).alias("_text"))
+    docs, place = with_place(docs, doc_id)
+    return _find(docs.select(place.alias("doc"), mark_of(docs, place, text).alias("mark"), F.col(text).alias("_text")), width, run, load)
+
+
+def _find(rows: DataFrame, width: int, run: int, load: int) -> DataFrame:
+    """The repeats of :func:`find_repeats` among rows (doc, mark, text)."""
+    spark = rows.sparkSession
 
     counted = 1 << max(14, (8 * rows.rdd.getNumPartitions() - 1).bit_length())
 
@@ -366,14 +372,24 @@ def _cut(text: str | None, spans: list[list[int]]) -> str | None:
     return "".join([*kept, text[last:]])
 
 
-def place_of(doc_id: str) -> Column:
-    """A document's place by its id; a null id comes first."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
+def with_place(docs: DataFrame, doc_id: str) -> tuple[DataFrame, Column]:
+    """The documents, and a long column that orders them by id; a null id comes first.
+
+    Whole numbers are their own places. Other ids are numbered in their order:
+    sorted in ranges, of which each starts above all numbers of those before.
+    """
+    first = F.lit(-(2**63))
+    if isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        return docs, F.coalesce(F.col(doc_id).cast("long"), first)
+    p = free_prefix(docs.columns)
+    ids = docs.select(F.col(doc_id).alias(f"{p}id")).filter(F.col(f"{p}id").isNotNull()).distinct()
+    ids = settle(ids.repartitionByRange(f"{p}id").sortWithinPartitions(f"{p}id").withColumn(f"{p}place", F.monotonically_increasing_id()))
+    return docs.join(ids, F.col(doc_id) == F.col(f"{p}id"), "left").drop(f"{p}id"), F.coalesce(F.col(f"{p}place"), first)
 
 
-def mark_of(docs: DataFrame, doc_id: str, text: str) -> Column:
+def mark_of(docs: DataFrame, place: Column, text: str) -> Column:
     """What tells rows of one id apart: their text's hash, or nothing where no id comes twice."""
-    ids = docs.groupBy(place_of(doc_id).alias("doc")).agg(F.count(F.lit(1)).alias("n"))
+    ids = docs.groupBy(place.alias("doc")).agg(F.count(F.lit(1)).alias("n"))
     unique = ids.filter("n > 1").limit(1).count() == 0
     return F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
@@ -393,22 +409,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
-    """The documents with repeated words cut out of their texts, and ``length`` (if there) following."""
+    """The documents with repeated words cut out of their texts, and ``length`` (if there) following.
+
+    A null text stays null, with length 0. Other columns stay, whatever their names.
+    """
     others = [c for c in docs.columns if c not in (text, length)]
     cut = _without_repeats(docs, doc_id, text, WIDTH, RUN, LOAD, others, layout=True)
     made = {c: F.col(f"_k{i}") for i, c in enumerate(others)} | {text: F.col("kept_text")}
     if length in docs.columns:
-        made[length] = F.length("kept_text").cast(docs.schema[length].dataType)
+        made[length] = F.coalesce(F.length("kept_text"), F.lit(0)).cast(docs.schema[length].dataType)
     return cut.select(*[made[c].alias(c) for c in docs.columns])
 
 
 def _without_repeats(docs: DataFrame, doc_id: str, text: str, width: int, run: int, load: int, keep: list[str], layout: bool) -> DataFrame:
     """The columns ``keep`` as ``_k0``, ``_k1`` and so on, and the results."""
-    from pyspark.sql import types as T
-
-    mark = mark_of(docs, doc_id, text)
-    found = find_repeats(docs, doc_id, text, width, run, load, mark)
-    named = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], place_of(doc_id).alias("_doc"), mark.alias("_mark"), F.col(text).alias("_text"))
+    docs, place = with_place(docs, doc_id)
+    mark = mark_of(docs, place, text)
+    found = _find(docs.select(place.alias("doc"), mark.alias("mark"), F.col(text).alias("_text")), width, run, load)
+    named = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], place.alias("_doc"), mark.alias("_mark"), F.col(text).alias("_text"))
     joined = named.join(found, (F.col("_doc") == F.col("doc")) & (F.col("_mark") == F.col("mark")), "left")
     rows = joined.select(*[f"_k{i}" for i in range(len(keep))], "_text", "runs")
     kinds = (T.LongType(), T.LongType(), T.ArrayType(T.ArrayType(T.IntegerType())), T.StringType())

@@ -267,6 +267,9 @@ def test_repeats_against_brute_force(spark, prose, monkeypatch, load, together):
         assert (r["n_words"], r["n_removed"], r["kept_text"]) == (n, n - len(kept), " ".join(kept)), r["doc_id"]
         assert sum(b - a for a, b in r["removed"]) == r["n_removed"]
     laid = {r["doc_id"]: r["kept_text"] for r in substrings.remove_repeats(df, load=load, layout=True).collect()}
+    named = df.select(F.concat(F.lit("n"), F.lpad((F.col("doc_id") + 10).cast("string"), 4, "0")).alias("doc_id"), "text")
+    for r in substrings.remove_repeats(named.repartition(3), load=load).collect():
+        assert r["kept_text"] == " ".join(want[int(r["doc_id"][1:]) - 10][1]), r["doc_id"]
     for d, t in docs:
         assert re.findall(r"[^\x20\x09-\x0D]+", laid[d] or "") == want[d][1]
         if len(want[d][1]) == want[d][0]:
