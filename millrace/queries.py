@@ -6,7 +6,6 @@ floating-point sums depend on the order of rows.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from millrace.functions.types import date_to_int32
 from millrace.operators import aggregate, filter_rows, hash_join, limit, project, scan
 from millrace.plans import table
 from millrace.session import load
+from millrace.storage_queries import STORAGE
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -304,17 +304,6 @@ def _limit_zero(spark, sf_dir):
     return limit(load(spark, sf_dir, "orders").select("o_orderkey"), 0)
 
 
-@_query("pushdown_same_rows", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey >= 45000 AND o_orderkey < 50000")
-def _pushdown(spark, sf_dir):
-    """Orders written in key order with small row groups, read back with a range on the key."""
-    from millrace.sources import write_table
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/clustered-{uuid.uuid4().hex}"
-    write_table(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), path, rows_per_group=4096, cluster_by=["o_orderkey"])
-    return scan(spark, path, where=[("o_orderkey", ">=", 45000), ("o_orderkey", "<", 50000)])
-
-
 @_query("date_as_int32", "SELECT l_orderkey, l_linenumber, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS day FROM lineitem")
 def _date(spark, sf_dir):
     return _lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", date_to_int32("l_shipdate").alias("day"))
@@ -331,3 +320,7 @@ def flagship(spark, sf_dir):
 def _events(spark, sf_dir):
     per_user = aggregate(filter_rows(load(spark, sf_dir, "events"), col("value") >= 0), ["event_type", "user_id"], [count_rows("k")])
     return aggregate(per_user, ["event_type"], [sum_("k", "n"), count_rows("users")])
+
+
+for _name, (_plan, _sql) in STORAGE.items():
+    QUERIES[_name], ORACLE[_name] = _plan, _sql

@@ -96,7 +96,13 @@ def _read_plain(data: bytes, at: int, n: int, dtype: np.dtype) -> tuple[np.ndarr
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not _is_string(values):
         kept, places = np.unique(_keys(values), return_inverse=True)
-        return kept.view(values.dtype), places
+        if values.dtype != np.float64:
+            return kept, places
+        # In the order of values, NaN last, those that are equal in the order of their bits.
+        order = np.lexsort((kept, kept.view(np.float64)))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        return kept[order].view(np.float64), rank[places]
     kept = sorted(set(values))
     at = {v: k for k, v in enumerate(kept)}
     out = np.empty(len(kept), dtype=object)

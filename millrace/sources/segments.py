@@ -8,7 +8,7 @@ only the chunks it needs, and the table lies wherever Spark writes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from millrace.errors import EngineError
 from millrace.functions.expressions import Compare, ColumnRef, Literal, parse_comparison
 from millrace.functions.types import DOUBLE, INT32, INT64, SPARK_TYPES, STRING, coerce, type_of
 from millrace.operators.scan import Pushdown
-from millrace.sources.encodings import decode, encode_best
+from millrace.sources.encodings import decode, encode, encode_best, fits
 from millrace.sources.tables import ROWS_PER_GROUP, read_table
 
 _NUMPY = {INT32: np.dtype("int32"), INT64: np.dtype("int64"), DOUBLE: np.dtype("float64"), STRING: np.dtype(object)}
@@ -41,14 +41,14 @@ def _chunk_type(kind: str) -> T.StructType:
     )
 
 
-def _encode_chunk(column: pa.Array, kind: str) -> dict:
+def _encode_chunk(column: pa.Array, kind: str, wanted: str | None = None) -> dict:
     valid = column.is_valid().to_numpy(zero_copy_only=False)
     if kind == STRING:
         values = np.empty(len(column), dtype=object)
         values[:] = [v or b"" for v in column.cast(pa.binary()).to_pylist()]
     else:
         values = column.fill_null(0).to_numpy(zero_copy_only=False).astype(_NUMPY[kind])
-    encoding, body = encode_best(values)
+    encoding, body = (wanted, encode(wanted, values)) if wanted and fits(wanted, values) else encode_best(values)
     there = values[valid]
     low = high = None
     if kind == DOUBLE and np.isnan(there).any():
@@ -60,12 +60,16 @@ def _encode_chunk(column: pa.Array, kind: str) -> dict:
     return {"encoding": encoding, "body": body, "validity": b"" if valid.all() else np.packbits(valid, bitorder="little").tobytes(), "low": low, "high": high, "nulls": int((~valid).sum())}
 
 
-def write_segments(df: DataFrame, path: str, rows_per_group: int = ROWS_PER_GROUP, cluster_by: Sequence[str] = ()) -> None:
-    """Writes a segment table; every task makes row groups of ``rows_per_group`` rows and one shorter one."""
+def write_segments(df: DataFrame, path: str, rows_per_group: int = ROWS_PER_GROUP, cluster_by: Sequence[str] = (), encodings: Mapping[str, str] | None = None) -> None:
+    """Writes a segment table; every task makes row groups of ``rows_per_group`` rows and one shorter one.
+
+    Each chunk has the smallest encoding, or that which ``encodings`` names for
+    its column where that one takes the column's type.
+    """
     if rows_per_group < 1:
         raise EngineError("a row group has a row at least")
     kinds = [type_of(f.dataType, f.name) for f in df.schema.fields]
-    names = df.columns
+    names, wanted = df.columns, dict(encodings or {})
     schema = T.StructType([T.StructField("rows", T.LongType()), *[T.StructField(n, _chunk_type(k)) for n, k in zip(names, kinds, strict=True)]])
     arrow = pa.schema([("rows", pa.int64()), *[(n, pa.struct([("encoding", pa.string()), ("body", pa.binary()), ("validity", pa.binary()), ("low", _ARROW[k]), ("high", _ARROW[k]), ("nulls", pa.int64())])) for n, k in zip(names, kinds, strict=True)]])
     if "rows" in names:
@@ -74,7 +78,7 @@ def write_segments(df: DataFrame, path: str, rows_per_group: int = ROWS_PER_GROU
         df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
 
     def group(table: pa.Table) -> pa.RecordBatch:
-        row = {"rows": table.num_rows} | {n: _encode_chunk(table.column(n).combine_chunks(), k) for n, k in zip(names, kinds, strict=True)}
+        row = {"rows": table.num_rows} | {n: _encode_chunk(table.column(n).combine_chunks(), k, wanted.get(n)) for n, k in zip(names, kinds, strict=True)}
         return pa.RecordBatch.from_pylist([row], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,29 +148,23 @@ def segment_report(spark: SparkSession, path: str) -> DataFrame:
     Only lengths and ranges are aggregated; chunks stay where they are.
     """
     groups = read_table(spark, path)
-    out = None
-    for f in groups.schema.fields:
-        if f.name == "rows":
-            continue
-        c = F.col(f"`{f.name}`")
+    names = [n for n in groups.columns if n != "rows"]
+
+    def measures(name: str) -> list[Column]:
+        c = F.col(f"`{name}`")
         size = F.octet_length(c["body"]) + F.octet_length(c["validity"])
-        one = groups.agg(
-            F.min(c["encoding"]).alias("first"),
-            F.count_distinct(c["encoding"]).alias("kinds"),
-            F.sum(size).alias("bytes"),
-            F.sum("rows").alias("n"),
-            F.sum(c["nulls"]).alias("nulls"),
-            F.min(c["low"]).cast("string").alias("low"),
-            F.max(c["high"]).cast("string").alias("high"),
-            F.count(F.lit(1)).alias("row_groups"),
-        ).select(
-            F.lit(f.name).alias("column"),
-            F.concat("first", F.when(F.col("kinds") > 1, "*").otherwise("")).alias("encoding"),
-            "bytes",
-            (F.col("bytes") * 8 / F.col("n")).alias("bits_per_row"),
-            "nulls",
-            F.coalesce(F.concat("low", F.lit(" .. "), "high"), F.lit("(all null)")).alias("range"),
-            "row_groups",
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+        return [F.min(c["encoding"]).alias("first"), F.count_distinct(c["encoding"]).alias("kinds"), F.sum(size).alias("bytes"), F.sum("rows").alias("n"), F.sum(c["nulls"]).alias("nulls"), F.min(c["low"]).cast("string").alias("low"), F.max(c["high"]).cast("string").alias("high"), F.count(F.lit(1)).alias("row_groups")]
+
+    # One pass over the table for all columns.
+    flat = groups.agg(*[m.alias(f"m{k}_{i}") for k, n in enumerate(names) for i, m in enumerate(measures(n))])
+    fields = ("first", "kinds", "bytes", "n", "nulls", "low", "high", "row_groups")
+    each = F.array(*[F.struct(F.lit(n).alias("column"), *[F.col(f"m{k}_{i}").alias(f) for i, f in enumerate(fields)]) for k, n in enumerate(names)])
+    return flat.select(F.explode(each).alias("r")).select("r.*").select(
+        "column",
+        F.concat("first", F.when(F.col("kinds") > 1, "*").otherwise("")).alias("encoding"),
+        "bytes",
+        (F.col("bytes") * 8 / F.col("n")).alias("bits_per_row"),
+        "nulls",
+        F.coalesce(F.concat("low", F.lit(" .. "), "high"), F.lit("(all null)")).alias("range"),
+        "row_groups",
+    )

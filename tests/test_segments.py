@@ -126,3 +126,11 @@ def test_segment_mistakes(spark, tmp_path):
     nan = spark.createDataFrame([(float("nan"),), (1.0,)], "d double").coalesce(1)
     write_segments(nan, path)
     assert read_segments(spark, path, where=[("d", ">", 5.0)]).count() == 1
+
+
+def test_dictionary_of_doubles_is_in_value_order():
+    values = np.array([2.0, -1.0, 0.5, -5.0, 0.0, -0.0, np.nan, np.inf, -np.inf, -1.0])
+    kept, places = E._distinct(values)
+    assert repr(kept.tolist()) == "[-inf, -5.0, -1.0, -0.0, 0.0, 0.5, 2.0, inf, nan]"
+    assert kept[places].view(np.int64).tolist() == values.view(np.int64).tolist()
+    assert E.decode(E.DICT, E.encode(E.DICT, values), len(values), np.float64).view(np.int64).tolist() == values.view(np.int64).tolist()
