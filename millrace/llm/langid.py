@@ -28,11 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import table
+from millrace.llm._shared import free_prefix, table
+from millrace.llm._worker import begin, held
 
 SYMBOLS = 64
 DIMENSIONS = 1024
 GRAM = 3
+#: Vectors of 3-grams that a worker keeps, and that are added up at once.
+MEMORY, TOGETHER = 1 << 16, 4096
+#: Languages whose counts a task of :func:`learn` holds at once.
+HELD = 32
 UNKNOWN = "und"
 
 
@@ -73,35 +78,46 @@ def gram_codes(text: str) -> np.ndarray:
 
 
 class GramVectors:
-    """Bound vectors of 3-grams, made when first met and kept (at most SYMBOLS**3 rows)."""
+    """Bound vectors of 3-grams, kept once made for at most ``MEMORY`` of them."""
 
     def __init__(self, dimensions: int = DIMENSIONS):
         letters = letter_vectors(dimensions)
         self.places = [np.roll(letters, GRAM - 1 - k, axis=1) for k in range(GRAM)]
         self.row = np.full(SYMBOLS**GRAM, -1, dtype=np.int32)
-        self.rows = np.empty((4096, dimensions), dtype=np.int8)
+        self.rows = np.empty((0, dimensions), dtype=np.int8)
         self.used = 0
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors of distinct codes."""
         new = codes[self.row[codes] < 0]
+        if self.used + len(new) > MEMORY:
+            return self._bound(codes)
         if len(new):
-            while self.used + len(new) > len(self.rows):
-                self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
-            a, b, c = new // SYMBOLS**2, new // SYMBOLS % SYMBOLS, new % SYMBOLS
-            self.rows[self.used : self.used + len(new)] = self.places[0][a] * self.places[1][b] * self.places[2][c]
+            if self.used + len(new) > len(self.rows):
+                more = np.empty((min(MEMORY, max(4096, 2 * (self.used + len(new)))) - len(self.rows), self.rows.shape[1]), np.int8)
+                self.rows = np.concatenate((self.rows, more))
+            self.rows[self.used : self.used + len(new)] = self._bound(new)
             self.row[new] = np.arange(self.used, self.used + len(new))
             self.used += len(new)
         return self.rows[self.row[codes]]
 
+    def _bound(self, codes: np.ndarray) -> np.ndarray:
+        a, b, c = codes // SYMBOLS**2, codes // SYMBOLS % SYMBOLS, codes % SYMBOLS
+        return self.places[0][a] * self.places[1][b] * self.places[2][c]
+
+    def add(self, codes: np.ndarray, counts: np.ndarray, kind=np.int64) -> np.ndarray:
+        """The sum of the codes' vectors, each as often as it counts, a bounded number of vectors at a time."""
+        out = np.zeros(self.rows.shape[1], dtype=kind)
+        for i in range(0, len(codes), TOGETHER):
+            part = slice(i, i + TOGETHER)
+            out += counts[part].astype(kind) @ self(codes[part]).astype(kind)
+        return out
+
 
 def bundle(vectors: GramVectors, counts: np.ndarray) -> np.ndarray:
     """The integer vector of gram counts (index: code)."""
     codes = np.flatnonzero(counts)
-    out = np.zeros(vectors.rows.shape[1], dtype=np.int64)
-    for i in range(0, len(codes), 8192):
-        part = codes[i : i + 8192]
-        out += counts[part] @ vectors(part).astype(np.int64)
-    return out
+    return vectors.add(codes, counts[codes])
 
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
@@ -113,17 +129,26 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", dimensions: i
     names, kinds = ["lang", "i", "v"], [pa.string(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = _kept(dimensions)
         counts: dict[str, np.ndarray] = {}
+
+        def out(name: str) -> pa.RecordBatch:
+            v = bundle(vectors, counts.pop(name))
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(v), kinds[0]), pa.array(np.arange(len(v)), kinds[1]), pa.array(v, kinds[2])], names=names)
+
         for batch in batches:
             for name, body in zip(batch.column(0), batch.column(1), strict=True):
                 codes, n = np.unique(gram_codes(body.as_py()), return_counts=True)
-                if (name := name.as_py()) not in counts:
+                name = name.as_py()
+                if name in counts:
+                    counts[name] = counts.pop(name)  # the last is the one met last
+                else:
+                    if len(counts) == HELD:
+                        yield out(next(iter(counts)))
                     counts[name] = np.zeros(SYMBOLS**GRAM, dtype=np.int64)
                 counts[name][codes] += n
-        vectors = GramVectors(dimensions)
-        for name, c in counts.items():
-            v = bundle(vectors, c)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(v), kinds[0]), pa.array(np.arange(len(v)), kinds[1]), pa.array(v, kinds[2])], names=names)
+        for name in list(counts):
+            yield out(name)
 
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang), F.col(text))
     total = rows.mapInArrow(run, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
@@ -134,9 +159,13 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", dimensions: i
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], text: str = "text") -> DataFrame:
-    """Returns ``keep``, ``lang_pred`` and ``score`` (the cosine, 0 at least)."""
+    """Returns ``keep``, ``lang_pred`` and ``score`` (the cosine, 0 at least).
+
+    Kept columns that bear the name of a result are left out.
+    """
     from pyspark.sql import types as T
 
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score")]
     langs = sorted(prototypes)
     dimensions = len(next(iter(prototypes.values()))) if langs else DIMENSIONS
     matrix = np.zeros((len(langs), dimensions), dtype=np.float64)
@@ -158,7 +187,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
                 name, score = UNKNOWN, 0.0
                 if codes.any() and langs:
                     codes, n = np.unique(codes, return_counts=True)
-                    v = n.astype(np.float32) @ vectors(codes).astype(np.float32)
+                    v = vectors.add(codes, n, np.float32)
                     v /= max(1e-12, float(np.linalg.norm(v)))
                     v -= middle
                     cosines = matrix @ v / max(1e-12, float(np.linalg.norm(v)))
@@ -168,19 +197,15 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    rows = docs.select(*keep, F.col(text).alias(f"{free_prefix(keep)}text"))
     schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(run, schema)
 
 
-_vectors: dict[int, GramVectors] = {}
-
-
 def _kept(dimensions: int) -> GramVectors:
-    """Vectors live as long as the worker process."""
-    if dimensions not in _vectors:
-        _vectors[dimensions] = GramVectors(dimensions)
-    return _vectors[dimensions]
+    """Vectors live as long as the worker serves this operator."""
+    begin("languages")
+    return held(("vectors", dimensions), lambda: GramVectors(dimensions))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,15 +13,20 @@ Records with equal payloads of at least ``revisit_bytes`` are written once: the
 one with the largest id is a response, the others are revisits of it.
 
 Defined results: a null payload is empty; a null id or address is written as
-absent and read back as null; smaller equal payloads are all responses; repeated
-rows of one id and payload are all responses or all revisits of the largest id
-(of rows that share it too, one is the response); an empty table gives no rows.
+absent and read back as null; an address is written as a URI, other characters
+than printable ASCII percent-encoded, and read back so; smaller equal payloads
+are all responses; rows that repeat an id and payload are all revisits of the
+largest id, or all responses where that is theirs (and then bear one record
+name); columns besides id, address and payload are left out; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,13 +37,17 @@ from millrace.llm._shared import scratch, table
 CHUNK = 64 << 10
 REVISIT_BYTES = 1000
 END = b"\r\n\r\n"
+#: Headers that hold page ids, beside those of the standard.
+PAGE, PAGE_REFERRED = "X-Page-ID", "X-Refers-To-Page-ID"
+#: ASCII that stands in a target URI as it is; all else is percent-encoded.
+_URI = "".join(map(chr, range(0x21, 0x7F)))
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORD_SCHEMA = "archive int, record long, id long, chunk int, last boolean, body binary, payload_at int, payload_sha1 string"
 
 
 def plan_records(pages: DataFrame, page_id: str, url: str, payload: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """Adds to each page what its record will be: ``digest, size, refers_to``.
+    """``id, url, body`` of each page, and what its record will be: ``digest, size, referred, refers_to``.
 
     Digests are counted, with their largest id, on the side of each task first,
     so a payload that a third of all pages share is one row of the smaller side
@@ -54,21 +63,28 @@ def plan_records(pages: DataFrame, page_id: str, url: str, payload: str, revisit
         .select(F.col("digest").alias("d"), F.col("size").alias("s"), "first_id")
     )
     joined = named.join(groups, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left")
-    return joined.select("id", "url", "body", "digest", "size", F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
+    referred = F.col("first_id").isNotNull() & F.col("id").eqNullSafe(F.col("first_id"))
+    return joined.select("id", "url", "body", "digest", "size", referred.alias("referred"), F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id")).alias("refers_to"))
 
 
-def _head(kind: str, record_id, url, digest: str, size: int, refers_to) -> bytes:
+def record_name(*parts) -> str:
+    """A record's identifier, the same whenever it is written."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, "\0".join(map(str, parts))).urn
+
+
+def _head(kind: str, name: str, record_id, url, digest: str, size: int, refers_to) -> bytes:
     """The WARC and HTTP headers of a record, up to its payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = len(http) + (size if kind == "response" else 0)
     lines = ["WARC/1.1", f"WARC-Type: {kind}"]
+    lines.append(f"WARC-Record-ID: <{name}>")
     if record_id is not None:
-        lines.append(f"WARC-Record-ID: <urn:page:{record_id}>")
+        lines.append(f"{PAGE}: {record_id}")
     if url is not None:
-        lines.append("WARC-Target-URI: " + "".join(c if c.isprintable() and c != " " else f"%{ord(c):02X}" for c in url))
+        lines.append("WARC-Target-URI: " + quote(url, safe=_URI, errors="surrogatepass"))
     lines += ["WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}"]
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_name(refers_to, digest)}>", f"{PAGE_REFERRED}: {refers_to}"]
     lines.append(f"Content-Length: {block}")
     return "\r\n".join(lines).encode("utf-8") + b"\r\n\r\n" + http
 
@@ -80,10 +96,11 @@ def write_archives(records: DataFrame, path: str, chunk: int = CHUNK) -> None:
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.string()]
 
-    def chunks(row) -> Iterator[tuple]:
-        record_id, url, body, digest, size, refers_to = row
+    def chunks(row, *place) -> Iterator[tuple]:
+        record_id, url, body, digest, size, referred, refers_to = row
         kind = "response" if refers_to is None else "revisit"
-        head = _head(kind, record_id, url, digest, size, refers_to)
+        # Only a record that others refer to must be found by its page.
+        head = _head(kind, record_name(record_id, digest) if referred else record_name(*place, record_id, digest), record_id, url, digest, size, refers_to)
         body = memoryview(body) if kind == "response" else memoryview(b"")
         sha, at, number = hashlib.sha1(usedforsecurity=False), 0, 0
         while True:
@@ -101,8 +118,8 @@ def write_archives(records: DataFrame, path: str, chunk: int = CHUNK) -> None:
         made: list[tuple] = []
         held = 0
         for batch in batches:
-            for row in zip(*(_values(batch.column(i)) for i in range(6)), strict=True):
-                for number, done, body, at, sha in chunks(row):
+            for row in zip(*(_values(batch.column(i)) for i in range(7)), strict=True):
+                for number, done, body, at, sha in chunks(row, archive, record):
                     made.append((archive, record, row[0], number, done, body, at, sha))
                     held += len(body)
                     if held >= 64 * CHUNK:
@@ -111,7 +128,7 @@ def write_archives(records: DataFrame, path: str, chunk: int = CHUNK) -> None:
                 record += 1
         yield _batch(made, names, kinds)
 
-    records.select("id", "url", "body", "digest", "size", "refers_to").mapInArrow(run, RECORD_SCHEMA).write.option("compression", "zstd").parquet(path)
+    records.select("id", "url", "body", "digest", "size", "referred", "refers_to").mapInArrow(run, RECORD_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _values(column: pa.Array) -> Iterator:
@@ -190,12 +207,12 @@ class _Reader:
 
     def row(self) -> tuple:
         kind = self.fields["WARC-Type"]
-        number = lambda v: int(v[len("<urn:page:") : -1]) if v else None
+        number = lambda name: int(self.fields[name]) if name in self.fields else None
         stated = self.fields["WARC-Payload-Digest"].removeprefix("sha1:")
         response = kind == "response"
         digest = self.sha.hexdigest() if response else stated
         whole = self.left == 0 and self.tail == END and digest == stated and (not response or self.size == self.stated_size)
-        return (*self.at, number(self.fields.get("WARC-Record-ID")), kind, number(self.fields.get("WARC-Refers-To")), self.fields.get("WARC-Target-URI"), self.size if response else self.stated_size, digest, stated, whole)
+        return (*self.at, number(PAGE), kind, number(PAGE_REFERRED), self.fields.get("WARC-Target-URI"), self.size if response else self.stated_size, digest, stated, whole)
 
 
 def export_archive(spark: SparkSession, path: str, archive: int, to: str) -> int:

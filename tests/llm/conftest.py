@@ -3,6 +3,10 @@ import pytest
 ODD_TEXTS = [None, "", " \n\t ", "one", "a b c d", "x " * 3000, "é ü 中文 🙂 " * 8]
 
 
+#: Names that operators use inside or for results.
+INTERNAL = ("_here", "_id", "_hash", "_key", "_stay_doc", "_doc", "_mark", "_text", "_k0", "_block", "_inside", "_first", "_n", "_number", "c0", "votes", "quality", "kept", "score", "lang_pred", "class_id", "class_key", "__doc", "mark", "runs", "sequence_id")
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     """Documents with every kind of trouble: nulls anywhere, empty and long texts, repeated rows, clashing columns."""
@@ -10,7 +14,7 @@ def odd(spark):
     rows += [(None, "no id but some words in here", None, None, None), (3, "one", "en", "s", 0), (3, "another text of the same id", None, "s", 1)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     df = spark.createDataFrame(rows, schema)
-    names = ("key", "doc", "bucket", "length", "start", "shard", "digest", "items", "_x")
+    names = ("key", "doc", "bucket", "length", "start", "shard", "digest", "items", "_x", *INTERNAL)
     from pyspark.sql import functions as F
 
     return df.withColumns({n: F.lit(7) for n in names})

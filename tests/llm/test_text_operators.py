@@ -1,6 +1,7 @@
 """Sharding, decontamination, quality rules, chat, WARC, language: against brute force and round trips."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, langid, quality, sharding, warc
+from millrace.llm import chat, decontaminate, langid, neardup, quality, sharding, substrings, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,6 +65,11 @@ def test_op5(spark):
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {k: (len(v) + 16, zlib.crc32(v)) for k, v in texts.items()}
     assert all(r["grown_shard"] in (r["shard"], 40) and r["law"] == "key" for r in rows)
+    hashed = {r[0]: r[1] % 2**64 for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.xxhash64(F.lit("shard"), "doc_id")).collect()}
+    assert all((r["shard"], r["grown_shard"]) == (one_jump(hashed[r["doc_id"]], 40), one_jump(hashed[r["doc_id"]], 41)) for r in rows)
+    for s in range(40):
+        mine = sorted(r["slot"] for r in rows if r["shard"] == s)
+        assert mine == list(range(len(mine)))
 
 
 # --- decontamination
@@ -198,6 +204,23 @@ def test_op7_runs_no_python(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
     rows = quality.op7_quality_rules(spark, SF).collect()
     assert len(rows) == 200 and all(not (r["base_failed"] and r["kept"]) for r in rows)
+    # The verdict again, from votes that are cast in plain Python.
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    extra = {r["doc_id"]: r for r in quality.measure(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+
+    def vote(rule, r):
+        value = eval(re.sub(r"nullif\((\w+), 0\)", r"(\1 or float('nan'))", rule.measure), {}, {c: r[c] for c in quality.MEASURES} | {"float": float})
+        if value != value:
+            return 0
+        return -1 if not rule.low <= value <= rule.high else int(rule.good_low <= value <= rule.good_high)
+
+    votes = {d: tuple(vote(rule, extra[d]) for rule in quality.RULES) for d in texts}
+    model = quality.fit(sorted(Counter(votes.values()).items()))
+    for r in rows:
+        odds = model.log_odds(votes[r["doc_id"]])
+        assert abs(r["quality"] - 1 / (1 + math.exp(-odds))) < 1e-9
+        words, _, _, _, repeated = measures(texts[r["doc_id"]])
+        assert r["base_failed"] == (words < 10 or 100 * repeated > 20 * words) and r["kept"] == (not r["base_failed"] and odds >= 0)
 
 
 # --- chat
@@ -243,7 +266,7 @@ def test_op4(spark):
 
 def test_warc_round_trip(spark, tmp_path):
     big = "é" * 70000
-    rows = [(1, "http://a/", "x" * 1500), (2, "http://b/?q=a b", "x" * 1500), (3, None, "x" * 999), (4, "u", "x" * 999), (5, "u\r\nEvil: 1", big), (6, "u", big), (7, "u", None), (8, "u", ""), (None, "u", "zz\r\n\r\n<"), (2, "again", "x" * 1500)]
+    rows = [(1, "http://a/", "x" * 1500), (2, "http://b/?q=a b", "x" * 1500), (3, None, "x" * 999), (4, "u", "x" * 999), (5, "u\r\nEvil: 1", big), (6, "u", big), (7, "u", None), (8, "u", ""), (None, "http://ü/ x%20", "zz\r\n\r\n<"), (9, "again", "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     for chunk in (warc.CHUNK, 1000, 7):
         path = str(tmp_path / f"w{chunk}")
@@ -256,16 +279,109 @@ def test_warc_round_trip(spark, tmp_path):
         kind = {1: ("revisit", 2), 5: ("revisit", 6)}
         assert seen == sorted(((i or 0, len(body(t)), sha(t), *kind.get(i, ("response", None))) for i, _, t in rows), key=repr)
         assert spark.read.parquet(path).agg(F.max(F.octet_length("body"))).head()[0] <= chunk + 1000
+    assert {r["url"] for r in got if r["id"] in (None, 2, 3)} == {"http://%C3%BC/%20x%20", "http://b/?q=a%20b", None}
     archives = [r[0] for r in spark.read.parquet(path).select("archive").distinct().collect()]
     raw = b"".join((warc.export_archive(spark, path, a, str(tmp_path / "x.warc")), (tmp_path / "x.warc").read_bytes())[1] for a in archives)
+    ids = re.findall(rb"WARC-Record-ID: <urn:uuid:([0-9a-f-]{36})>", raw)
+    assert len(ids) == len(rows) and len(set(ids)) == len(rows)
+    assert set(re.findall(rb"WARC-Refers-To: <urn:uuid:([0-9a-f-]{36})>", raw)) <= set(ids)
     assert raw.count(b"WARC/1.1\r\n") == len(rows) and b"\r\nEvil" not in raw and raw.endswith(b"\r\n\r\n")
     warc.write_archives(warc.plan_records(df.limit(0), "page_id", "url", "html"), str(tmp_path / "e"))
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_of_repeated_rows(spark, tmp_path):
+    df = spark.createDataFrame([(2, "a", "x" * 1500), (2, "b", "x" * 1500), (1, "c", "x" * 1500)], "page_id long, url string, html string")
+    warc.write_archives(warc.plan_records(df, "page_id", "url", "html"), str(tmp_path / "w"))
+    got = sorted((r["id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, str(tmp_path / "w")).collect())
+    assert got == [(1, "revisit", 2), (2, "response", None), (2, "response", None)]
+
+
+# --- columns of any name
+
+
+def test_kept_columns_keep_their_values(spark, odd):
+    assert {"_here", "_key", "_stay_doc", "_block", "_k0", "score"} <= set(odd.columns)
+    bench = spark.createDataFrame([(1, "some words in here")], "item_id long, text string")
+    done = {
+        "quality": quality.filter_quality(odd),
+        "near": neardup.keep_one(odd),
+        "repeats": substrings.cut_repeats(odd),
+        "benchmark": decontaminate.drop_contaminated(odd, bench),
+        "slots": sharding.with_slots(sharding.assign_shards(odd, "doc_id", 3), "doc_id"),
+        "languages": langid.predict(odd, {}, odd.columns),
+    }
+    results = {"slots": {"shard"}, "languages": {"score", "lang_pred"}}
+    for name, df in done.items():
+        kept = [c for c in odd.columns if c not in results.get(name, ())]
+        assert set(kept) <= set(df.columns) and len(set(df.columns)) == len(df.columns), name
+        want = [tuple(r[c] for c in kept) for r in odd.collect()]
+        rows = [tuple(r[c] for c in kept) for r in df.collect()]
+        if name == "repeats":
+            at = [kept.index(c) for c in ("text", "n_chars")]
+            want, rows = ([tuple(v for i, v in enumerate(r) if i not in at) for r in x] for x in (want, rows))
+        assert not set(rows) - set(want) and len(rows) <= len(want), name
+        if name in ("repeats", "slots", "languages"):
+            assert sorted(map(repr, rows)) == sorted(map(repr, want)), name
+
+
 # --- languages
 
 
+def told(rows, dimensions=langid.DIMENSIONS):
+    """The whole query in plain Python: prototypes of the rows that aren't held out, and the best cosine of each text."""
+    letters = langid.letter_vectors(dimensions).astype(int)
+
+    def vector(text):
+        symbols = [0]
+        for c in text:
+            low = c.lower()[:1]
+            symbols.append(0 if not c.isalpha() else ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % (64 - 27))
+        symbols = [s for i, s in enumerate([*symbols, 0]) if i == 0 or s or ([*symbols, 0][i - 1])]
+        out = np.zeros(dimensions, dtype=int)
+        for gram, n in Counter(zip(symbols, symbols[1:], symbols[2:], strict=False)).items():
+            out += n * np.roll(letters[gram[0]], 2) * np.roll(letters[gram[1]], 1) * letters[gram[2]]
+        return out
+
+    vectors = {d: vector(t or "") for d, t, _ in rows}
+    names = sorted({lang for d, t, lang in rows if lang and t is not None and zlib.crc32(str(d).encode()) % 5})
+    unit = lambda v: v / max(1e-12, np.linalg.norm(v))
+    prototypes = [unit(sum(vectors[d] for d, t, x in rows if x == lang and t is not None and zlib.crc32(str(d).encode()) % 5)) for lang in names]
+    centre = sum(prototypes) / len(prototypes)
+    out = {}
+    for d, t, _ in rows:
+        cosines = [float(unit(p - centre) @ unit(unit(vectors[d]) - centre)) for p in prototypes]
+        best = int(np.argmax(cosines))
+        out[d] = (names[best], min(1.0, max(0.0, cosines[best]))) if any(c.isalpha() for c in t or "") else ("und", 0.0)
+    return out
+
+
+def test_op9_against_plain_python(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    want = told(rows)
+    for r in langid.op9_language_id(spark, SF).collect():
+        lang, score = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4, r["doc_id"]
+
+
+def test_languages_within_bounds(spark, monkeypatch):
+    """Texts of more 3-grams than are kept or added at once, and more languages than a task holds."""
+    rng = np.random.default_rng(4)
+    vectors, few = langid.GramVectors(64), langid.GramVectors(64)
+    codes = np.unique(rng.integers(0, 64**3, 20000))
+    counts = rng.integers(1, 9, len(codes))
+    want = counts @ vectors._bound(codes).astype(int)
+    monkeypatch.setattr(langid, "MEMORY", 5000)
+    for part in np.array_split(np.arange(len(codes)), 7):
+        few.add(codes[part], counts[part])
+    assert (few.add(codes, counts) == want).all() and len(few.rows) <= 5000
+    docs = spark.createDataFrame([(f"l{i % 50}", f"text {i} of some language l{i % 50}") for i in range(200)], "lang string, text string").coalesce(1)
+    held = langid.learn(docs, dimensions=64)
+    apart = langid.learn(docs.repartition(60, "lang"), dimensions=64)
+    assert len(held) == 50 > langid.HELD and all((held[k] == apart[k]).all() for k in apart)
+
+
+
 def test_gram_vectors_bind_permuted_letters():
     letters = langid.letter_vectors(64)
     codes = langid.gram_codes("Ab")
