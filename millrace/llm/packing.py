@@ -14,7 +14,8 @@ fewer would allow. Completed branches become incumbents, as do partial ones
 closed by best fit. Where fillings were left out and the search ends without
 proof, it starts again with more of them. The search stops at a documented
 number of nodes (every ``STEPS`` steps of enumeration count as one) and is never
-worse than best fit.
+worse than best fit. :func:`report` tells how a solution stands to the bound;
+:func:`pack` warns where it needs more sequences than that.
 
 Defined results: a null text is empty and packs as its end id alone; repeated
 rows are packed each; an empty table gives no rows; texts of any length are cut
@@ -23,8 +24,10 @@ into pieces of ``capacity``.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,7 @@ NODES = 2000
 WIDTH, STEPS = 6, 600
 
 Filling = tuple[int, ...]
+_log = logging.getLogger(__name__)
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
@@ -226,6 +230,19 @@ def solve(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[F
     return complete(np.asarray(counts, dtype=np.int64), capacity, nodes)
 
 
+@dataclass(frozen=True)
+class Report:
+    """Sequences of a solution, those that best fit takes, and those that any packing needs."""
+
+    sequences: int
+    best_fit: int
+    needed: int
+
+
+def report(counts: np.ndarray, capacity: int, solution: list[tuple[Filling, int]]) -> Report:
+    return Report(sum(n for _, n in solution), sum(n for _, n in best_fit(counts, capacity)), lower_bound(counts, capacity))
+
+
 def _places(solution: list[tuple[Filling, int]]) -> tuple[np.ndarray, ...]:
     """For each length, runs of numbers with their first sequence and their offset, sorted."""
     rows, seen, sequence = [], {}, 0
@@ -241,12 +258,13 @@ def _places(solution: list[tuple[Filling, int]]) -> tuple[np.ndarray, ...]:
     return tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 4
 
 
-def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = (), capacity: int = CAPACITY, per_block: int = 200_000) -> DataFrame:
+def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = (), capacity: int = CAPACITY, per_block: int | None = None) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to settled pieces no longer than ``capacity``.
 
     ``pieces`` is read twice; lengths are counted, then pieces are numbered
-    within their length. A length that very many pieces share is numbered in
-    parts of about ``per_block``.
+    within their length. A length that more than ``per_block`` pieces share is
+    numbered in parts of about that many: if not given, a task's share of all
+    pieces, 256 at least and 200,000 at most.
     """
     spark = pieces.sparkSession
     counts = np.zeros(capacity + 1, dtype=np.int64)
@@ -254,7 +272,12 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = (),
         if r[0] is None or not 1 <= r[0] <= capacity:
             raise ValueError(f"a piece has length {r[0]}; 1 to {capacity} are allowed")
         counts[r[0]] = r[1]
-    first = _places(solve(counts, capacity))
+    solution = solve(counts, capacity)
+    found = report(counts, capacity, solution)
+    if found.sequences > found.needed:
+        _log.warning("%d sequences (best fit: %d), of which %d are needed for certain", found.sequences, found.best_fit, found.needed)
+    first = _places(solution)
+    per_block = per_block or int(min(200_000, max(256, counts.sum() // int(spark.conf.get("spark.sql.shuffle.partitions")))))
     parts = spark.createDataFrame([(i, int(-(-n // per_block))) for i, n in enumerate(counts.tolist()) if n] or [(0, 1)], "_length int, _parts int")
     order = order or tuple(c for c in pieces.columns if c != length)
     split = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.col("_parts"))

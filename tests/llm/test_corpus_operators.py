@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import _worker, encoding, neardup, packing, registry, substrings, token_files
+from millrace.llm import components as components_module
 from millrace.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -119,7 +120,9 @@ def test_bin_completion_finds_the_fewest():
 def test_bin_completion_beats_best_fit():
     counts = np.bincount(np.random.default_rng(1).integers(900, 1500, 3000), minlength=4097)
     total = lambda s: sum(n for _, n in s)
-    assert total(packing.solve(counts, 4096)) < total(packing.best_fit(counts, 4096))
+    solution = packing.solve(counts, 4096)
+    assert total(solution) < total(packing.best_fit(counts, 4096))
+    assert packing.report(counts, 4096, solution) == packing.Report(total(solution), total(packing.best_fit(counts, 4096)), packing.lower_bound(counts, 4096))
     assert not packing._dominated((5, 4), (8,)) and packing._dominated((5, 4), (9,)) and packing._dominated((3, 2, 2), (5, 2))
 
 
@@ -492,6 +495,26 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_components_with_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "LINKS", 4)
+    rng = np.random.default_rng(5)
+    # Two stars with a common leaf, one of them around its largest node, and a sparse rest.
+    links = [(0, i) for i in range(1, 900)] + [(5000, i) for i in range(899, 1700)] + [(6000 + int(a), 6000 + int(b)) for a, b in rng.integers(0, 800, (500, 2))]
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long").repartition(4)).collect()}
+    assert got == {x: find(x) for x in list(parent)}
+
+
 # --- the whole
 
 
