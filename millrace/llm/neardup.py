@@ -343,6 +343,7 @@ def _unresolved(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, texts: Dat
     alone = groups.join(roots, F.col("_n") == F.col("node"), "left_anti").select(F.col("_n").alias("key"), "group", F.col("_n").alias("root"))
     members = linked.unionByName(alone).join(nodes.select(F.col("key").alias("_k"), "size", "signature"), F.col("key") == F.col("_k")).drop("_k")
     rows = settle(_in_blocks(settle(members)))
+    release(rows.sparkSession)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for place, held_rows in _by_place(batches):
@@ -444,6 +445,7 @@ def find_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     signed = settle(sign(docs, doc_id, text, weights))
     worded = signed.filter(F.size("bands") > 0)
     nodes = settle(worded.groupBy("key").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in ("size", "bands", "signature")]))
+    release(spark)
 
     rows = nodes.select("key", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -453,6 +455,7 @@ def find_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     leads = ranked.groupBy("band").agg(F.max(F.struct("company", "key"))["key"].alias("lead")).withColumnRenamed("band", "_b")
     bands = settle(rows.drop("size").join(leads, F.col("band") == F.col("_b")).drop("_b"))
     pairs = settle(bands.filter("key <> lead").select(F.col("key").alias("u"), F.col("lead").alias("v")).distinct())
+    release(spark)
 
     wanted = bands.select("key").distinct().join(nodes.select(F.col("key").alias("_k"), "doc"), F.col("key") == F.col("_k")).drop("_k").withColumnRenamed("key", "_key")
     here = docs.select(F.col(doc_id).alias("_doc"), text_key(text).alias("key"), F.col(text).alias("text"))
@@ -460,8 +463,10 @@ def find_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     if worded.groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
         texts = texts.groupBy("key").agg(F.first("text").alias("text"))
     texts, path = stage(texts)
+    release(spark)
 
     links = settle(_verify(pairs, texts, weights, threshold))
+    release(spark)
     roots = settle(components(links))
     release(spark)
     found = settle(_unresolved(pairs, roots, nodes, texts, weights, threshold))

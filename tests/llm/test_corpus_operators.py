@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from millrace.llm import _worker, encoding, neardup, packing, registry, substrings, token_files
 from millrace.llm import components as components_module
+from millrace.llm._shared import release
 from millrace.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -495,6 +497,31 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_rounds_of_components_leave_no_files(spark):
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in settings}
+    release(spark)
+    time.sleep(1)
+    before, links = _shuffle_files(spark), [(k + 1, k) for k in range(40)]
+    one_round = 7 * 16 * 2  # shuffles, their tasks, files of a task
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = components(spark.createDataFrame(links, "u long, v long"))
+        end = time.time() + 10
+        while (left := _shuffle_files(spark) - before) > one_round and time.time() < end:  # Spark removes them in the background
+            time.sleep(0.2)
+        assert left <= one_round
+        assert {r["root"] for r in found.collect()} == {0}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def _shuffle_files(spark):
+    return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+
 def test_components_with_hot_nodes(spark, monkeypatch):
     monkeypatch.setattr(components_module, "LINKS", 4)
     rng = np.random.default_rng(5)
