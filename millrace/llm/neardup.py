@@ -86,9 +86,12 @@ class Weights:
 
     def __init__(self, documents: int, counters: np.ndarray):
         others = int(np.partition(counters, len(counters) // 2)[len(counters) // 2])
-        frequency = np.clip(counters.astype(np.int64) - others, 1, max(1, documents))
-        idf = np.log(documents / frequency) / math.log(documents) if documents > 1 else np.ones(len(counters))
-        self.level = np.rint(np.clip(idf, 0.0, 1.0) * (LEVELS - 1)).astype(np.uint8)
+        self.level = np.empty(len(counters), np.uint8)
+        # In blocks: this runs in the driver, where whole tables of wide numbers would count.
+        for k in range(0, len(counters), CELL_BLOCK):
+            frequency = np.clip(counters[k : k + CELL_BLOCK].astype(np.int64) - others, 1, max(1, documents))
+            idf = np.log(documents / frequency) / math.log(documents) if documents > 1 else np.ones(len(frequency))
+            self.level[k : k + CELL_BLOCK] = np.rint(np.clip(idf, 0.0, 1.0) * (LEVELS - 1))
 
     def __call__(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return counts * weight_of(self.level[cells_of(hashes)])
@@ -221,11 +224,16 @@ def count_documents(texts: DataFrame) -> Weights:
     if salts > 1:
         counted = counted.repartition("block", "salt").mapInArrow(add, schema)
     total = counted.repartition("block").mapInArrow(add, schema)
-    counters, documents = np.zeros(CELLS, dtype=np.int64), 0
-    for r in total.collect():  # CELLS numbers, whatever the corpus
-        counters[r["block"] * CELL_BLOCK :][:CELL_BLOCK] = _unpacked(bytes(r["body"]))
-        documents += r["documents"]
-    return Weights(documents, counters)
+    found = total.collect()  # CELLS numbers, whatever the corpus
+    return Weights(sum(r["documents"] for r in found), _table({r["block"]: bytes(r["body"]) for r in found}))
+
+
+def _table(blocks: dict[int, bytes]) -> np.ndarray:
+    """All counters, from their blocks, in the narrowest of the blocks' types that holds them."""
+    counters = np.zeros(CELLS, max((np.dtype(body[:3].decode()) for body in blocks.values()), key=lambda kind: kind.itemsize, default=np.dtype("<u1")))
+    for k, body in blocks.items():
+        counters[k * CELL_BLOCK :][:CELL_BLOCK] = _unpacked(body)
+    return counters
 
 
 def _packed(counters: np.ndarray) -> bytes:
@@ -493,6 +501,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     p = free_prefix(docs.columns)
     found = settle(find_classes(docs, doc_id, text))
+    release(docs.sparkSession)
     # Sorted by (is the id null, id, key), the least of a class stays.
     order = F.struct(F.col("doc").isNull().alias("a"), F.col("doc").alias("b"), F.col("key").alias("c"))
     stay = found.groupBy("class_key").agg(F.min(order).alias("s"), F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -454,6 +455,19 @@ def test_document_frequencies_are_those_of_all_documents(spark, prose):
     assert neardup._unpacked(neardup._packed(np.array([1, 300, 2**40]))).tolist() == [1, 300, 2**40]
 
 
+def test_weights_are_made_in_little_memory():
+    counters = np.random.default_rng(5).integers(0, 3 * 10**5, neardup.CELLS)
+    blocks = {k: neardup._packed(counters[k * neardup.CELL_BLOCK :][: neardup.CELL_BLOCK]) for k in range(neardup.CELLS // neardup.CELL_BLOCK)}
+    tracemalloc.start()
+    level = neardup.Weights(10**6, neardup._table(blocks)).level
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    frequency = np.clip(counters - int(np.sort(counters)[len(counters) // 2]), 1, 10**6)
+    assert (level == np.rint(np.clip(np.log(10**6 / frequency) / np.log(10**6), 0, 1) * (neardup.LEVELS - 1))).all()
+    assert neardup._table({}).sum() == 0
+
+
 def test_common_counters_are_taken_off():
     counters = np.full(neardup.CELLS, 50, np.int64)
     counters[:3] = (51, 1050, 10**6)
