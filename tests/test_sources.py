@@ -9,6 +9,7 @@ from millrace.errors import EngineError
 from millrace.operators import scan
 from millrace.plans import run
 from millrace.sources import TableWriter, can_contain, prune_estimate, read_table, row_groups, table_report, write_table
+from millrace.sources import inspect
 from millrace.sources.datagen import MODES, generate
 from millrace.sources.inspect import ColumnRange
 from millrace.streaming import CountingSink, drain, drain_files
@@ -51,6 +52,52 @@ def test_pruning_counts(spark, tmp_path):
         prune_estimate(spark, path, [("nothing", "=", 1)])
 
 
+def calls(spark, monkeypatch, action):
+    """Calls to the JVM that an action makes."""
+    client, n = spark._jvm._gateway_client, [0]
+    send = client.send_command
+
+    def counted(command, *args, **kwargs):
+        n[0] += command.startswith("c\n")  # not what lets go of objects
+        return send(command, *args, **kwargs)
+
+    with monkeypatch.context() as m:
+        m.setattr(client, "send_command", counted)
+        action()
+    return n[0]
+
+
+def test_footers_cost_no_calls_for_row_groups(spark, tmp_path, monkeypatch):
+    found = []
+    for groups in (4, 400):
+        path = str(tmp_path / f"g{groups}")
+        write_table(general(spark, groups * 2), path, 2, ["id"], files=1)
+        found.append([calls(spark, monkeypatch, lambda path=path: prune_estimate(spark, path, [("id", "<", 2)])), prune_estimate(spark, path, [("id", "<", 2)])])
+    assert [x.groups_total for _, x in found] == [4, 400] and [x.groups_read for _, x in found] == [1, 1]
+    assert found[1][0] < found[0][0] + 100
+
+
+def test_long_footers(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "long")
+    write_table(general(spark, 1000), path, 10, ["id"], files=3)
+    whole = list(row_groups(spark, path))
+    assert sum(g.rows for g in whole) == 1000 and len(whole) >= 100 and set(whole[0].columns) == {"id", "bucket", "price", "mode"}
+    monkeypatch.setattr(inspect, "TAIL", 20)
+    monkeypatch.setattr(inspect, "PIECE", 777)
+    assert list(row_groups(spark, path)) == whole
+    assert [list(g.columns) for g in row_groups(spark, path, ["mode", "nothing"])] == [["mode"]] * len(whole)
+
+
+def test_ranges_of_types(spark, tmp_path):
+    path = str(tmp_path / "types")
+    rows = "SELECT 0.1f f, 0D d, 'NaN'::double x, true b, 1.25::decimal(9,2) n, date'1970-01-11' day, 'é' s, now() t, named_struct('a', 1L) p UNION ALL SELECT 2.5f, -0D, 1D, false, -7, date'1970-01-02', 'z', now(), named_struct('a', 2L)"
+    write_table(spark.sql(rows).coalesce(1), path)
+    (group,) = row_groups(spark, path)
+    ranges = {c.column: (c.low, c.high) for c in group.columns.values()}
+    assert ranges == {"f": (0.1, 2.5), "d": (0, 0), "x": (None, None), "b": (False, True), "n": (-700, 125), "day": (1, 10), "s": ("z", "é"), "t": (None, None), "p.a": (1, 2)}
+    assert [str(v) for v in ranges["d"]] == ["-0.0", "0.0"]
+
+
 @pytest.mark.parametrize(
     ("op", "literal", "want"),
     [("=", 5, True), ("=", 11, False), ("<>", 5, True), ("<", 1, False), ("<=", 1, True), (">", 10, False), (">=", 10, True), ("=", "x", True)],
