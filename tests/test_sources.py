@@ -77,6 +77,26 @@ def test_footers_cost_no_calls_for_row_groups(spark, tmp_path, monkeypatch):
     assert found[1][0] < found[0][0] + 100
 
 
+def test_report_costs_no_calls_for_row_groups(spark, tmp_path, monkeypatch):
+    found = []
+    for groups in (4, 400):
+        path = str(tmp_path / f"g{groups}")
+        write_table(general(spark, groups * 2), path, 2, ["id"], files=1)
+        found.append(calls(spark, monkeypatch, lambda path=path: table_report(spark, path)))
+        report = {r["column"]: r for r in table_report(spark, path).collect()}
+        assert {(r["row_groups"], r["rows"], r["nulls"]) for r in report.values()} == {(groups, groups * 2, 0)}
+        assert report["id"]["range"] == f"0 .. {groups * 2 - 1}" and report["mode"]["range"] == "A .. D"
+    assert found[1] < found[0] + 100
+
+
+def test_report_of_encodings_that_differ(spark, tmp_path):
+    path = str(tmp_path / "e")
+    df = spark.range(0, 4000, 1, 2).selectExpr("IF(id < 2000, id, id % 2) v", "id % 2 w")
+    df.write.option("parquet.enable.dictionary", "true").option("parquet.dictionary.page.size", "1024").parquet(path)
+    report = {r["column"]: r["encoding"] for r in table_report(spark, path).collect()}
+    assert report["v"].endswith("*") and not report["w"].endswith("*")
+
+
 def test_long_footers(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "long")
     write_table(general(spark, 1000), path, 10, ["id"], files=3)
